@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import chunkstore, decontaminate, licenses, packing, quality, substrings, tokens, toxicity
+from stepweave.llm import chunkstore, decontaminate, jaccard, licenses, packing, quality, substrings, tokens, toxicity
 from stepweave.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op4_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkstore.store_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,7 +49,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontamination, op2_packing, op4_chunk_store, op6_token_counts, op7_suffix_dedup, op8_quality, op9_toxicity, op10_licenses)
+_ALL = (op1_decontamination, op2_packing, op4_chunk_store, op5_jaccard_join, op6_token_counts, op7_suffix_dedup, op8_quality, op9_toxicity, op10_licenses)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
