@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import id_text, text_blocks
+from stepweave.llm.common import id_text, small_batches, text_blocks
 
 SAMPLE = 1600  # labelled rows of each class that a model is fitted on, at most
 SAMPLE_BYTES = 32_768  # longer texts are scored, but not learned from
@@ -44,18 +44,23 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1] - w[0] * centre / scale)
 
 
-def score_all(docs: DataFrame, margins, curve: tuple[float, float], held_out: F.Column, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted of all rows; margins(raw, at) gives a text's margin from its whole bytes."""
+def score_all(docs: DataFrame, margins, curve: tuple[float, float], held_out: F.Column, threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted of all rows, and the columns to carry along; margins(raw, at) gives a text's margin from its whole bytes."""
     a, b = curve
+    small_batches(docs.sparkSession)
+    carry = carry or []
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"), *(F.col(c) for c in carry)]
+    wide = docs.select(*columns)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields[3:])
 
     def score(batches):
         for batch in batches:
             p = np.zeros(batch.num_rows)
             for i, j, raw, at in text_blocks(batch.column(2)):
                 p[i:j] = 1 / (1 + np.exp(-np.clip(a * margins(raw, at) + b, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(batch.column(c) for c in carry)], names=["doc_id", "held_out", "score", "predicted", *carry])
 
-    return id_text(docs).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return wide.mapInArrow(score, f"doc_id long, held_out boolean, score double, predicted int{kinds}")
 
 
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import chunkstore, decontaminate, jaccard, licenses, packing, quality, substrings, tokens, toxicity
+from stepweave.llm import chunkstore, decontaminate, embeddings, jaccard, licenses, packing, quality, substrings, tokens, toxicity
 from stepweave.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkstore.store_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,7 +53,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontamination, op2_packing, op4_chunk_store, op5_jaccard_join, op6_token_counts, op7_suffix_dedup, op8_quality, op9_toxicity, op10_licenses)
+_ALL = (op1_decontamination, op2_packing, op3_embedding_dedup, op4_chunk_store, op5_jaccard_join, op6_token_counts, op7_suffix_dedup, op8_quality, op9_toxicity, op10_licenses)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}

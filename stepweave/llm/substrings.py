@@ -6,6 +6,7 @@ import gc
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -346,3 +347,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ext
     for i, c in enumerate(extra):
         out = out.withColumnRenamed(f"_extra_{i}", c)
     return out
+
+
+def whole_characters(column: str) -> F.Column:
+    """The column's bytes without those of characters that a cut has split."""
+
+    @F.pandas_udf("binary")
+    def mend(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: bytes(b).decode("utf-8", "ignore").encode() if b is not None else None)
+
+    return mend(F.col(column))

@@ -150,12 +150,12 @@ class Scorer:
         return out
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted of all documents; learns from labels outside the held-out fold.
+def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted of all documents, and the columns to carry along; learns from labels outside the held-out fold.
 
     A text without words, null texts among them, has margin 0. Repeated rows are scored alike; null
     labels are not learned from; an empty table of documents gives an empty result, and without labels
     of both classes every score is low. Other columns than doc_id and text are not read.
     """
     table, curve = train(*labelled_sample(docs, labels, "toxic", fold(modulus) != held))
-    return score_all(docs, Scorer(table), curve, fold(modulus) == held)
+    return score_all(docs, Scorer(table), curve, fold(modulus) == held, carry=carry)
