@@ -80,7 +80,7 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
 
         squeeze, encode = zstandard.ZstdCompressor(level=1), encoder(tokenizer, False)
         for batch in batches:
-            for i, j, raw, at in text_blocks(batch.column(1)):
+            for i, j, raw, at in text_blocks(batch.column(1), 2 << 20):
                 ids, at = with_end(*encode(raw, at), end_id)
                 data = memoryview(ids.astype(f"<u{width}").tobytes())
                 rows: dict[str, list] = {"n": [], "digests": [], "lengths": [], "payload": []}
@@ -160,8 +160,9 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, wid
     return path
 
 
-def _checked(width: int, bases: dict[int, int]):
+def _checked(width: int, bases: dict[int, int], with_ids: bool):
     """Rebuilds ids from the row's own payload and the chunks fetched for it; verifies every digest and root."""
+    kinds, names = [pa.int64()] * 4 + [pa.binary()] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
 
     def rebuild(batches):
         import zstandard
@@ -186,15 +187,16 @@ def _checked(width: int, bases: dict[int, int]):
                 ids = np.frombuffer(b"".join(parts), f"<u{width}")
                 if len(ids) != r["n_tokens"]:
                     raise ValueError(f"document {r['doc_id']}: {len(ids)} ids instead of {r['n_tokens']}")
-                out.append((r["doc_id"], bases[r["segment"]] + r["before"], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.astype("<u4").tobytes()))
+                data = ids.astype("<u4").tobytes()
+                out.append((r["doc_id"], bases[r["segment"]] + r["before"], len(ids), zlib.crc32(data), data)[: 4 + with_ids])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64()] * 4 + [pa.binary()])], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return rebuild
 
 
-def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit) of each document, rebuilt from the files.
+def read_store(spark: SparkSession, path: str, width: int = 2, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if wanted, ids (little-endian unsigned 32-bit) of each document, rebuilt from the files.
 
     The driver gets one row for each segment, to place the segments one after another. Rows whose
     chunks all lie in themselves are rebuilt where they are read; only chunks that several recipes
@@ -204,7 +206,7 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     for r in sorted(spark.read.parquet(f"{path}/manifest").select("segment", "n_tokens").collect()):
         bases[r[0]], total = total, total + r[1]
     segments = spark.read.parquet(f"{path}/segments")
-    result = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+    result = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     alone = segments.filter("n_foreign = 0").select("segment", "doc_id", "n_tokens", "before", "digests", "lengths", "owners", "payload", "root")
 
     def lent(batches):
@@ -227,10 +229,10 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     wants = parted.select("segment", "nth", F.explode(F.expr("filter(transform(sequence(0, length(owners) - 1), k -> named_struct('k', k, 'own', substring(owners, k + 1, 1) <> X'00', 'digest', substring(digests, k * 16 + 1, 16))), x -> not x.own)")).alias("w")).select("segment", "nth", "w.k", "w.digest")
     fetched = wants.join(chunks, "digest").groupBy("segment", "nth").agg(F.collect_list(F.struct(F.col("k"), F.col("data"))).alias("fetched"))
     joined = parted.join(fetched, ["segment", "nth"], "left").select("segment", "doc_id", "n_tokens", "before", "digests", "lengths", "owners", "payload", "root", "fetched")
-    return alone.mapInArrow(_checked(width, bases), result).unionByName(joined.mapInArrow(_checked(width, bases), result))
+    return alone.mapInArrow(_checked(width, bases, with_ids), result).unionByName(joined.mapInArrow(_checked(width, bases, with_ids), result))
 
 
 def store_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Writes a store into the shared folder and returns what reading it back gives, without the ids."""
     path = write_store(docs, tokenizer, f"{shared_dir(docs.sparkSession)}/stepweave-store-{uuid.uuid4().hex}", end_id)
-    return read_store(docs.sparkSession, path).drop("ids")
+    return read_store(docs.sparkSession, path, with_ids=False)

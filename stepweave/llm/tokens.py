@@ -45,7 +45,7 @@ class IdEncoder:
     tokenizer must drop white space; units are then told apart by a control character.
     """
 
-    POOL = 24 << 20
+    POOL = 12 << 20
 
     def __init__(self, path: str, lossless: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
