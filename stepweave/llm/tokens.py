@@ -38,6 +38,19 @@ def safe_spaces(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return spot[ends_solid(raw, spot - 1) & _AFTER[raw[spot + 1]]]
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b",.;:!?%&#$*()")] = True  # not the bar: special tokens hold it
+
+
+def sign_fronts(raw: np.ndarray) -> np.ndarray:
+    """Positions of signs, no apostrophes, right after an ASCII letter: the pre-tokenizers of both .json files end a token there."""
+    spot = np.flatnonzero(_SIGN[raw])
+    spot = spot[spot > 0]
+    return spot[_LETTER[raw[spot - 1]]]
+
+
 class IdEncoder:
     """Token ids of whole texts by a tokenizers .json file; the same ids as encode(text, add_special_tokens=False).
 
@@ -108,6 +121,7 @@ class IdEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         cut = np.zeros(len(raw), bool)
         cut[safe_spaces(raw, at)] = True
+        cut[sign_fronts(raw)] = True
         cut[at[:-1][at[:-1] < at[1:]]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(raw))
