@@ -73,7 +73,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def text_blocks(column: pa.Array, most: int = 4 << 20):
+def text_blocks(column: pa.Array, most: int = 1 << 20):
     """(first, last, bytes, offsets) of runs of texts with about `most` bytes; a longer text is a run of its own."""
     raw, at = text_bytes(column)
     i, n = 0, len(at) - 1

@@ -16,7 +16,8 @@ from stepweave.llm.common import TABLE, id_text, materialize, mix, powers, prefi
 LENGTH = 100  # bytes of a string that may not occur twice
 GRAM = 20  # bytes of an anchor; each string has LENGTH - GRAM + 1 grams to choose from
 PART = 1 << 20  # longer texts are taken in parts of so many string starts
-FLUSH = 1 << 20  # rows that a task gathers before it settles repeats among them
+BLOCK = 1 << 20  # bytes of contexts that are settled together
+FLUSH = 1 << 18  # rows that a task gathers before it settles repeats among them
 
 
 def lyndon_suffix_array(text: bytes) -> list[int]:
@@ -233,7 +234,16 @@ def _settled_contexts(length: int):
         akey, doc, start, anchor = (x[order] for x in (akey, doc, start, anchor))
         data = table["data"].combine_chunks()
         data = (data if not isinstance(data, pa.ChunkedArray) else pa.concat_arrays(data.chunks)).take(pa.array(order))
-        raw, at = text_bytes(data.cast(pa.large_binary()).view(pa.large_string()))
+        bytes_, edge = text_bytes(data.cast(pa.large_binary()).view(pa.large_string()))
+        key_at = np.append(np.flatnonzero(np.concatenate([[True], akey[1:] != akey[:-1]])), len(akey))
+        i = 0
+        while i + 1 < len(key_at):  # whole keys, about BLOCK bytes of them at a time
+            j = max(i + 1, int(np.searchsorted(edge[key_at], edge[key_at[i]] + BLOCK, "right")) - 1)
+            a, b = int(key_at[i]), int(key_at[j])
+            yield settle(akey[a:b], doc[a:b], start[a:b], anchor[a:b], bytes_[edge[a] : edge[b]], edge[a : b + 1] - edge[a])
+            i = j
+
+    def settle(akey, doc, start, anchor, raw, at):
         size = np.maximum(np.diff(at) - length + 1, 0)
         sums = prefix_hash(TABLE[raw])
         own = np.repeat(np.arange(len(akey)), size)
@@ -260,7 +270,7 @@ def _settled_contexts(length: int):
             gone += _by_suffix_array(raw, akey, doc, start, at, own, spot, left, length)
         doc_, at_ = (np.concatenate(x) for x in zip(*gone))
         d, s, e = _merged(doc_, at_, at_ + length)
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "start", "end"])
 
     return rows
 
