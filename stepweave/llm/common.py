@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
 _FALLBACK: dict[str, str] = {}
 
 
@@ -81,6 +83,14 @@ def text_blocks(column: pa.Array, most: int = 1 << 20):
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker outlives its tasks, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -6,12 +6,11 @@ import gc
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import TABLE, id_text, materialize, mix, powers, prefix_hash, ranges, shuffles, slice_hash, text_bytes
+from stepweave.llm.common import TABLE, id_text, materialize, mix, powers, prefix_hash, ranges, shuffles, slice_hash, text_bytes, trim
 
 LENGTH = 100  # bytes of a string that may not occur twice
 GRAM = 20  # bytes of an anchor; each string has LENGTH - GRAM + 1 grams to choose from
@@ -166,6 +165,7 @@ def _anchor_rows(length: int, gram: int):
             if n >= FLUSH:
                 yield from flush()
                 n = 0
+            trim()
         if held:
             yield from flush()
 
@@ -242,6 +242,7 @@ def _settled_contexts(length: int):
             a, b = int(key_at[i]), int(key_at[j])
             yield settle(akey[a:b], doc[a:b], start[a:b], anchor[a:b], bytes_[edge[a] : edge[b]], edge[a : b + 1] - edge[a])
             i = j
+            trim()
 
     def settle(akey, doc, start, anchor, raw, at):
         size = np.maximum(np.diff(at) - length + 1, 0)
@@ -322,8 +323,9 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, extra: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, extra: tuple[str, ...] = (), mend: bool = False) -> DataFrame:
     """Each document without the bytes of strings that start earlier: doc_id, n_bytes, n_removed, n_spans, kept (binary), and extra columns of docs.
+    With mend, what is kept loses the bytes of characters that a cut has split.
 
     Order is by doc_id, then by place. Strings are judged on the input. A null or empty text, or one of fewer
     than `length` bytes, is kept; so are rows without doc_id. Rows that repeat a doc_id count as one document: they
@@ -350,20 +352,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ext
                         keep[s:e] = False
                     counts[1:, k] = (~keep).sum(), len(start)
                     data = data[keep]
-                kept.append(data.tobytes())
+                data = data.tobytes()
+                kept.append(data.decode("utf-8", "ignore").encode() if mend and counts[1, k] else data)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in counts), pa.array(kept, pa.binary()), *(batch.column(c) for c in carried)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carried])
+            trim()
 
     out = both.select("doc_id", "text", "gone", *carried).mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{kinds}")
     for i, c in enumerate(extra):
         out = out.withColumnRenamed(f"_extra_{i}", c)
     return out
 
-
-def whole_characters(column: str) -> F.Column:
-    """The column's bytes without those of characters that a cut has split."""
-
-    @F.pandas_udf("binary")
-    def mend(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: bytes(b).decode("utf-8", "ignore").encode() if b is not None else None)
-
-    return mend(F.col(column))

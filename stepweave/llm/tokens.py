@@ -58,8 +58,6 @@ class IdEncoder:
     tokenizer must drop white space; units are then told apart by a control character.
     """
 
-    POOL = 12 << 20
-
     def __init__(self, path: str, lossless: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -73,7 +71,7 @@ class IdEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.cache, self.pool, self.used = HashCache(21, np.int64, np.int32), np.zeros(1 << 20, np.uint32), 0
+        self.cache, self.pool, self.used = HashCache(20 if self.lossless else 21, np.int64, np.int32), np.zeros(1 << 20, np.uint32), 0
 
     def _put(self, ids: np.ndarray) -> int:
         need = self.used + len(ids)
@@ -115,7 +113,7 @@ class IdEncoder:
 
     def __call__(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts laid end to end, and the n + 1 offsets by text."""
-        if self.used > self.POOL:
+        if self.used > (8 << 20 if self.lossless else 12 << 20):
             self._reset()
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
