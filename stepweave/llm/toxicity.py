@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from stepweave.llm.common import _LOWER, TABLE, HashCache, mix, prefix_hash, ranges, slice_hash, words
+from stepweave.llm.common import _LOWER, TABLE, HashCache, mix, prefix_hash, ranges, slice_hash, trim, words
 from stepweave.llm.learn import calibrate, fold, joined, labelled_sample, score_all
 
 BITS, LEAST, MOST = 18, 3, 6
@@ -35,8 +35,8 @@ def subwords(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 def _spread(rows: np.ndarray, columns: np.ndarray, n_columns: int):
     """Sums by column of values given by row, for a fixed sparse pattern."""
-    order = np.argsort(columns, kind="stable")
-    rows, sorted_ = rows[order], columns[order]
+    order = np.argsort(columns, kind="stable").astype(np.int32)
+    rows, sorted_ = rows.astype(np.int32)[order], columns.astype(np.int32)[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     at = sorted_[first]
 
@@ -66,7 +66,7 @@ def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate:
     used = np.flatnonzero(seen >= max(3, least * len(texts)))
     number = np.full(1 << BITS, len(used))
     number[used] = np.arange(len(used))
-    bucket = number[bucket]  # rarer ones share a last row, which stays 0
+    bucket = number[bucket].astype(np.int32)  # rarer ones share a last row, which stays 0
     n_words = np.diff(first)
     spans = -(-n_words // SPAN)
     doc = np.repeat(np.arange(len(n_words)), spans)
@@ -80,7 +80,7 @@ def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate:
 
     sub_at, span_at = np.cumsum(per) - per, np.searchsorted(span, np.arange(len(doc)))
     to_word = _spread(span, word, len(per))
-    to_bucket = _spread(np.repeat(np.arange(len(per)), per), bucket, len(used) + 1)
+    to_bucket = _spread(np.repeat(np.arange(len(per), dtype=np.int32), per), bucket, len(used) + 1)
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (len(used) + 1, dim)).astype(np.float32)
     embedding[-1] = 0
@@ -111,6 +111,8 @@ def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate:
         embedding[-1] = 0
     table = np.zeros(1 << BITS, np.float32)
     table[used] = embedding[:-1] @ (softmax[:, 1] - softmax[:, 0])
+    del to_bucket, to_word, by_word, by_span, bucket, moments
+    trim()
     rest = Scorer(table)(*joined([t for t, f in zip(texts, fit) if not f]))
     return table, calibrate(rest, y[~fit]) if len(set(y[~fit].tolist())) == 2 else (1.0, 0.0)
 
