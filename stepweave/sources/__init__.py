@@ -127,9 +127,18 @@ def expand_alignments(records: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq, qual of four-line records; read by whole records, in file order."""
-    raw = spark.read.option("lineSep", "\n@").text(path).select(F.split(F.regexp_replace("value", "^@", ""), "\n").alias("l"))
-    return raw.filter("size(l) >= 4").select(F.expr("l[0]").alias("name"), F.expr("l[1]").alias("seq"), F.expr("l[3]").alias("qual"))
+    """name, seq, qual of four-line records, by line number: a quality line may begin like a name.
+
+    Line numbers come from the place within a partition and the sizes of the partitions before it, one row for each.
+    """
+    text = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
+    text = text.select("value", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("nth"))
+    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = text.groupBy("part").count().select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = text.join(F.broadcast(sizes), "part").withColumn("line", F.col("nth") + F.col("before"))
+    at = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    rows = numbered.groupBy(F.floor(F.col("line") / 4).alias("record")).agg(at(0).alias("name"), at(1).alias("seq"), at(3).alias("qual"))
+    return rows.filter("qual is not null").select(F.regexp_replace("name", "^@", "").alias("name"), "seq", "qual")
 
 
 def calls(spark: SparkSession, path: str) -> DataFrame:
