@@ -86,6 +86,15 @@ def text_blocks(column: pa.Array, most: int = 1 << 20):
     trim()
 
 
+CACHES: dict = {}  # of this worker process: what later tasks of the same operator may use again
+
+
+def forget() -> None:
+    """Drops the worker's caches; an operator that has no use for them calls it before it needs the room."""
+    CACHES.clear()
+    trim()
+
+
 def trim() -> None:
     """Gives freed memory back to the system: a worker outlives its tasks, and others need the room."""
     pa.default_memory_pool().release_unused()

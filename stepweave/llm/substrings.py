@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import TABLE, id_text, materialize, mix, powers, prefix_hash, ranges, shuffles, slice_hash, text_bytes, trim
+from stepweave.llm.common import TABLE, forget, id_text, materialize, mix, powers, prefix_hash, ranges, shuffles, slice_hash, text_bytes, trim
 
 LENGTH = 100  # bytes of a string that may not occur twice
 GRAM = 20  # bytes of an anchor; each string has LENGTH - GRAM + 1 grams to choose from
@@ -144,6 +144,7 @@ def _settle(akey, ctx, doc, u, v, a, length):
 
 def _anchor_rows(length: int, gram: int):
     def rows(batches):
+        forget()
         held: list[tuple] = []
 
         def flush():
@@ -180,6 +181,7 @@ def _grouped_rows(length: int):
     """All rows of a partition: later rows of a context give intervals; contexts of a key that has several are asked for."""
 
     def rows(batches):
+        forget()
         parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
         if not parts:
             return
@@ -225,6 +227,7 @@ def _settled_contexts(length: int):
     """
 
     def rows(batches):
+        forget()
         parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
         if not parts:
             return

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stepweave.llm.common import TABLE, HashCache, id_text, prefix_hash, ranges, slice_hash, text_blocks
+from stepweave.llm.common import CACHES, TABLE, HashCache, id_text, prefix_hash, ranges, slice_hash, text_blocks
 
 _GRAPH = np.zeros(256, bool)
 _GRAPH[0x21:0x7F] = True
@@ -130,14 +130,11 @@ class IdEncoder:
         return ids, total[np.searchsorted(start, at)]
 
 
-_ENCODERS: dict[tuple[str, bool], IdEncoder] = {}
-
-
 def encoder(path: str, lossless: bool) -> IdEncoder:
     """One encoder for each worker process, so that later tasks find a filled cache."""
-    if (path, lossless) not in _ENCODERS:
-        _ENCODERS[path, lossless] = IdEncoder(path, lossless)
-    return _ENCODERS[path, lossless]
+    if (path, lossless) not in CACHES:
+        CACHES[path, lossless] = IdEncoder(path, lossless)
+    return CACHES[path, lossless]
 
 
 def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
