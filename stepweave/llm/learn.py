@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepweave.llm.common import id_text, small_batches, text_blocks
 
-SAMPLE = 1400  # labelled rows of each class that a model is fitted on, at most
+SAMPLE = 1000  # labelled rows of each class that a model is fitted on, at most
 SAMPLE_BYTES = 32_768  # longer texts are scored, but not learned from
 
 
