@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK walks turn word edits into few changed coordinates, sampled coordinates are hashed, hits are verified by edit distance."""
+"""Benchmark decontamination: items are cut into one piece more than they may have edits, so that a copy holds one piece as it is; hits are verified by edit distance."""
 
 from __future__ import annotations
 
@@ -9,147 +9,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import id_text, mix, ranges, text_blocks
+from stepweave.llm.common import id_text, mix, prefix_hash, ranges, slice_hash, text_blocks
 from stepweave.llm.licenses import alnum_words, words_of
 
 SIMILARITY = 0.8  # of an item's words; the rest may be substituted, inserted or deleted
-SHAPES = ((12, 9), (16, 11), (20, 12))  # steps of a walk, sampled coordinates; drawn again and again until TARGET is met
-TARGET = 0.98
-MOST_REPETITIONS = 36
 BLOCK_BYTES = 64 << 20  # benchmark text that one broadcast index may hold; more text makes more indexes
+CELLS = 1 << 20  # hits, words or cells of edit distances that are worked on at a time
 
 
-class Walk:
-    """One CGK embedding with one sample of its coordinates.
-
-    Step j gives the current word and then moves on or stays, by a random bit of (j, word). Two strings that
-    differ by few edits fall into step soon, so that most coordinates agree. Past its end a string gives 0.
-    """
-
-    def __init__(self, rng: np.random.Generator, steps: int, sampled: int):
-        self.odd = rng.integers(1, 1 << 63, steps, dtype=np.uint64) | np.uint64(1)
-        inner = np.sort(rng.choice(np.arange(1, steps), sampled - 1, replace=False))
-        self.sample = [0, *inner.tolist()]
-
-    def keys(self, words: np.ndarray, at: np.ndarray, stop: np.ndarray, alive=None) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the strings that begin at `at` and cannot reach `stop`; alive(k, keys) tells which are still worth walking."""
-        place, left = at.copy(), np.arange(len(at))
-        key = np.zeros(len(at), np.uint64)
-        for j in range(self.sample[-1] + 1):
-            word = np.where(place < stop[left], words[np.minimum(place, len(words) - 1)], np.uint64(0))
-            if j in self.sample:
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
-                if alive is not None:
-                    ok = alive(self.sample.index(j), key)
-                    key, place, left, word = key[ok], place[ok], left[ok], word[ok]
-                    if not len(left):
-                        break
-            place = place + (mix(word * self.odd[j]) >> np.uint64(63)).astype(np.int64)
-        return key, left
+def _runs(cost: np.ndarray):
+    """(first, last) of runs that cost about CELLS; a dearer one is a run of its own."""
+    total = np.concatenate([[0], np.cumsum(cost)])
+    i = 0
+    while i < len(cost):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + CELLS, "right")) - 1)
+        yield i, j
+        i = j
 
 
 class Index:
-    """Keys of all item windows: an item's words from each offset on, under each repetition."""
+    """Pieces of all items, by their number of words.
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, target: float = TARGET, seed: int = 11):
+    An item that may have e edits is cut into e + 1 pieces. An edit changes one piece at most, so every stretch
+    within e edits of the item holds a piece as it is: whatever the item's length and wherever the stretch lies, none is missed.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
+        if not 0 < similarity <= 1:
+            raise ValueError(f"similarity must be over 0 and at most 1, not {similarity}")
         rows = [(i, np.array(words_of(t), np.uint64)) for i, t in items]
         rows = [r for r in rows if len(r[1])]
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.size = np.array([len(r[1]) for r in rows], np.int64)
         self.words = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.uint64)
         self.first = np.cumsum(self.size) - self.size
-        self.edits = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
-        self.recall, self.tables, rng = 1.0, [], np.random.default_rng(seed)
-        if not len(rows):
-            return
-        tests = self._edited(rng)
-        found = np.zeros(len(tests[2]), bool)
-        while len(self.tables) < MOST_REPETITIONS:
-            self._add(Walk(rng, *SHAPES[len(self.tables) % len(SHAPES)]))
-            hit = self.candidates(tests[0], tests[1], self.tables[-1:])
-            right = hit[1] == tests[2][hit[0]]
-            found[hit[0][right]] = True
-            self.recall = float(found.mean())
-            if len(self.tables) >= len(SHAPES) and self.recall >= target:
-                break
-
-    def _edited(self, rng: np.random.Generator, n: int = 600) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Copies of items with as many random word edits as are allowed: words, offsets, item numbers."""
-        which, out = rng.integers(0, len(self.ids), n), []
-        for k in which:
-            w = self.words[self.first[k] : self.first[k] + self.size[k]].tolist()
-            for _ in range(int(self.edits[k])):
-                p, kind = int(rng.integers(0, len(w) + 1)), int(rng.integers(0, 3))
-                new = [int(rng.integers(1, 1 << 63))]
-                w[p : p + (kind > 0)] = new if kind < 2 else []
-            out.append(np.array(w, np.uint64))
-        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int64), which
-
-    def _add(self, walk: Walk) -> None:
-        at = np.arange(len(self.words))
-        item = np.repeat(np.arange(len(self.ids)), self.size)
-        sieves: list[np.ndarray] = []
-
-        def note(_, key):
+        self.edits = np.minimum(np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64), self.size - 1)
+        self.step = self.edits + 1
+        item = np.repeat(np.arange(len(self.ids)), self.step)
+        k = ranges(np.zeros(len(self.ids), np.int64), self.step)
+        offset = k * self.size[item] // self.step[item]
+        length = (k + 1) * self.size[item] // self.step[item] - offset
+        sums, self.tables = prefix_hash(self.words), []
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            start = self.first[item[own]] + offset[own]
+            key = slice_hash(sums, start, start + n)
             sieve = np.zeros(1 << 20, bool)
             sieve[(key >> np.uint64(44)).astype(np.int64)] = True
-            sieves.append(sieve)
-            return np.ones(len(key), bool)
+            order = np.argsort(key, kind="stable")
+            self.tables.append((n, sieve, key[order], item[own][order], offset[own][order]))
 
-        key, _ = walk.keys(self.words, at, (self.first + self.size)[item], note)
-        order = np.argsort(key, kind="stable")
-        self.tables.append((walk, sieves, key[order], item[order], (at - self.first[item])[order]))
+    def candidates(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item and slot of all windows that hold a piece of the item and enough of its words.
 
-    def candidates(self, words: np.ndarray, first: np.ndarray, tables=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, item and supposed first word (in the text) of each window that shares a key with an item's."""
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        stop = first[1:][text]
-        out = []
-        for walk, sieves, keys, item, offset in self.tables if tables is None else tables:
-            key, left = walk.keys(words, np.arange(len(words)), stop, lambda k, x, s=sieves: s[k][(x >> np.uint64(44)).astype(np.int64)])
-            if not len(left):
-                continue
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = high - low
-            row = ranges(low, n)
-            at = np.repeat(left, n)
-            out.append(np.stack([text[at], item[row], at - offset[row] - first[text[at]]]))
-        both = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return both[0], both[1], both[2]
-
-    def verify(self, words: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+        A slot is edits + 1 supposed beginnings in a row; they are verified together, in one window that holds all of them.
+        """
+        stop = np.repeat(first[1:], np.diff(first))
+        sums, pad = prefix_hash(words), int(self.size.max(initial=0)) + 1
+        span, out = len(words) + 2 * pad, [np.zeros(0, np.int64)]
+        for length, sieve, keys, items, offset in self.tables:
+            at = np.flatnonzero(np.arange(len(words)) + length <= stop)
+            key = slice_hash(sums, at, at + length)
+            some = sieve[(key >> np.uint64(44)).astype(np.int64)]
+            at, key = at[some], key[some]
+            low = np.searchsorted(keys, key, "left")
+            n = np.searchsorted(keys, key, "right") - low
+            for i, j in _runs(n):
+                row = ranges(low[i:j], n[i:j])
+                place = np.repeat(at[i:j], n[i:j])
+                text, item = np.searchsorted(first, place, "right") - 1, items[row]
+                slot = np.floor_divide(place - offset[row] - first[text], self.step[item])
+                code = np.unique((text * len(self.ids) + item) * span + slot + pad)
+                out.append(code[self._enough(words, first, *self._decoded(code, span, pad))])
+        return self._decoded(np.unique(np.concatenate(out)), span, pad)
+
+    def _decoded(self, code: np.ndarray, span: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pair, slot = np.divmod(code, span)
+        return pair // len(self.ids), pair % len(self.ids), slot - pad
+
+    def _window(self, first: np.ndarray, text: np.ndarray, item: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word (in the text) and number of words of the windows of slots; they may end after the text."""
+        return np.maximum((slot - 1) * self.step[item], 0), self.size[item] + 4 * self.step[item]
+
+    def _enough(self, words: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether the window holds all of the item's words but for its edits, in any order."""
+        low, width = self._window(first, text, item, slot)
+        start = first[text] + low
+        width = np.maximum(np.minimum(width, first[text + 1] - start), 0)
+        ok = np.zeros(len(text), bool)
+        for i, j in _runs(self.size[item] + width):
+            salt = mix(np.arange(1, j - i + 1, dtype=np.uint64))
+            own = self.words[ranges(self.first[item[i:j]], self.size[item[i:j]])] ^ np.repeat(salt, self.size[item[i:j]])
+            there = words[ranges(start[i:j], width[i:j])] ^ np.repeat(salt, width[i:j])
+            found = np.bincount(np.repeat(np.arange(j - i), self.size[item[i:j]]), weights=np.isin(own, there), minlength=j - i)
+            ok[i:j] = found >= (self.size - self.edits)[item[i:j]]
+        return ok
+
+    def verify(self, words: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, ...]:
         """Text, item, least edit distance and last word of the best hit of each pair that is near enough.
 
-        Hits whose supposed beginnings lie near each other are verified together, in one window that
-        holds all of them. Sellers' recurrence, for all windows at once.
+        Sellers' recurrence, for many windows of about the same width at once.
         """
-        step = self.edits[item] + 1
-        slot = np.floor_divide(begin, step)
-        _, one = np.unique(np.stack([text, item, slot]), axis=1, return_index=True)
-        text, item, slot, step = text[one], item[one], slot[one], step[one]
+        low, width = self._window(first, text, item, slot)
+        kind = np.ceil(np.log2(width)).astype(np.int64)
         out = []
-        for k in range(0, len(text), 4096):
-            t, i, s, e = (x[k : k + 4096] for x in (text, item, slot, step))
-            low = np.maximum(s * e - e, 0)
-            width = int((self.size[i] + 4 * e).max())
-            at = (first[t] + low)[:, None] + np.arange(width)
-            window = np.where(at < first[t + 1][:, None], words[np.minimum(at, len(words) - 1)], np.uint64(0))
-            ramp = np.arange(width + 1, dtype=np.int32)
-            row, last = np.zeros((len(t), width + 1), np.int32), None
-            best = np.full(len(t), 1 << 20)
-            where = np.zeros(len(t), np.int64)
-            for p in range(int(self.size[i].max())):
-                word = self.words[np.minimum(self.first[i] + p, len(self.words) - 1)]
-                new = np.empty_like(row)
-                new[:, 0] = p + 1
-                new[:, 1:] = np.minimum(row[:, :-1] + (window != word[:, None]), row[:, 1:] + 1)
-                row = np.minimum.accumulate(new - ramp, axis=1) + ramp
-                ended = np.flatnonzero(self.size[i] == p + 1)
-                if len(ended):
-                    where[ended] = row[ended].argmin(axis=1)
-                    best[ended] = row[ended, where[ended]]
-            ok = best <= self.edits[i]
-            out.append(np.stack([t[ok], i[ok], best[ok], (low + where - 1)[ok]]))
+        for c in np.unique(kind).tolist():
+            alike = np.flatnonzero(kind == c)
+            for k in range(0, len(alike), max(1, CELLS >> c)):
+                one = alike[k : k + max(1, CELLS >> c)]
+                t, i, begin, most = text[one], item[one], low[one], int(width[one].max())
+                at = (first[t] + begin)[:, None] + np.arange(most)
+                window = np.where(at < first[t + 1][:, None], words[np.minimum(at, len(words) - 1)], np.uint64(0))
+                ramp = np.arange(most + 1, dtype=np.int32)
+                row = np.zeros((len(t), most + 1), np.int32)
+                best = np.full(len(t), 1 << 20)
+                where = np.zeros(len(t), np.int64)
+                for p in range(int(self.size[i].max())):
+                    word = self.words[np.minimum(self.first[i] + p, len(self.words) - 1)]
+                    new = np.empty_like(row)
+                    new[:, 0] = p + 1
+                    new[:, 1:] = np.minimum(row[:, :-1] + (window != word[:, None]), row[:, 1:] + 1)
+                    row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+                    ended = np.flatnonzero(self.size[i] == p + 1)
+                    if len(ended):
+                        where[ended] = row[ended].argmin(axis=1)
+                        best[ended] = row[ended, where[ended]]
+                ok = best <= self.edits[i]
+                out.append(np.stack([t[ok], i[ok], best[ok], (begin + where - 1)[ok]]))
         both = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
         order = np.lexsort((both[3], both[2], both[1], both[0]))
         both = both[:, order]
