@@ -139,7 +139,8 @@ class Scorer:
 
         (value,) = self.cache.look_up(hashes, compute)
         order = np.argsort(hashes, kind="stable")
-        near = (hashes[order[1:]] == hashes[order[:-1]]) & (order[1:] - order[:-1] < SPAN)
+        text = np.repeat(np.arange(len(at) - 1), np.diff(first))[order]
+        near = (hashes[order[1:]] == hashes[order[:-1]]) & (order[1:] - order[:-1] < SPAN) & (text[1:] == text[:-1])
         value[order[1:][near]] = 0  # the word has counted in this span
         sums = np.concatenate([[0], np.cumsum(value, dtype=np.float64)])
         some = np.flatnonzero(np.diff(first) > 0)
