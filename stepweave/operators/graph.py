@@ -2,35 +2,61 @@
 
 from __future__ import annotations
 
+import tempfile
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bubbles(edges: DataFrame, inner: DataFrame, most: int = 4) -> DataFrame:
+def _settled(df: DataFrame) -> DataFrame:
+    """A checkpoint, from which later rounds restart; in a temporary folder only where spark.checkpoint.dir is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stepweave-"))
+    return df.checkpoint()
+
+
+def bubbles(edges: DataFrame, inner: DataFrame, most: int | None = 4) -> DataFrame:
     """Walks that leave a node, pass one to `most` nodes of `inner` (node) once each, and end outside it: path (array), dst.
 
-    A loop of joins, one for each length; the frontier stays a table, walks that close on themselves are dropped.
+    A loop of joins, one for each length; the frontier stays a table, walks that close on themselves are dropped. With
+    most=None the loop ends when no walk is left; where k inner nodes are all joined, that is after about e k! walks.
     """
     into = edges.join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
     out = edges.join(inner.withColumnRenamed("node", "dst"), "dst", "left_anti").select(F.col("src").alias("at"), "dst")
     front = edges.join(inner.withColumnRenamed("node", "src"), "src", "left_anti").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
     front = front.select(F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
     found = None
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
+        if most is None:
+            front = _settled(front)
+            if found is not None and front.isEmpty():
+                break
         closed = front.join(out, "at").select("path", "dst")
         found = closed if found is None else found.unionByName(closed)
         front = front.join(into, F.col("at") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
     return found
 
 
-def reachable(edges: DataFrame, most: int = 3) -> DataFrame:
-    """src, dst, steps: nodes that can be reached in 1 to `most` steps, with the least number of steps; semi-naive rounds."""
+def reachable(edges: DataFrame, most: int | None = 3) -> DataFrame:
+    """src, dst, steps: nodes that can be reached in 1 to `most` steps, with the least number of steps; semi-naive rounds.
+
+    With most=None the rounds go on until none finds a new pair: the whole closure.
+    """
+    edges = _settled(edges) if most is None else edges
     known = edges.select("src", "dst", F.lit(1).alias("steps")).distinct()
     front = known
-    for k in range(2, most + 1):
+    for k in count(2) if most is None else range(2, most + 1):
         step = front.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         front = step.join(known, ["src", "dst"], "left_anti").withColumn("steps", F.lit(k))
+        if most is None:
+            front = _settled(front)
+            if front.isEmpty():
+                break
         known = known.unionByName(front)
+        if most is None:
+            known = _settled(known)
     return known
 
 
@@ -41,6 +67,15 @@ def exclusive_edges(edges: DataFrame, reach: DataFrame) -> DataFrame:
     return pairs.join(r, F.expr("one = f and two = t"), "left_anti").join(r, F.expr("two = f and one = t"), "left_anti")
 
 
+def exclusive_pairs(edges: DataFrame, reach: DataFrame) -> DataFrame:
+    """All pairs of edges that no walk passes both of: src1, dst1 < src2, dst2. reach: the whole closure, reachable(edges, None)."""
+    e = _settled(edges.select("src", "dst").distinct())
+    one, two = (e.select(F.col("src").alias(f"src{i}"), F.col("dst").alias(f"dst{i}")) for i in (1, 2))
+    pairs = one.join(two, F.expr("struct(src1, dst1) < struct(src2, dst2) and dst1 <> src2 and dst2 <> src1"))
+    r = reach.select(F.col("src").alias("f"), F.col("dst").alias("t"))
+    return pairs.join(r, F.expr("dst1 = f and src2 = t"), "left_anti").join(r, F.expr("dst2 = f and src1 = t"), "left_anti")
+
+
 def classify(counts: DataFrame, fold: int = 3) -> DataFrame:
     """class from c1, c2, ref counts: c1 if c1 > fold c2, else c2 if c2 > fold c1, else ref if only ref, else none."""
     c = F.when(F.col("c1") > fold * F.col("c2"), "c1").when(F.col("c2") > fold * F.col("c1"), "c2").when((F.col("ref") > 0) & (F.col("c1") == 0) & (F.col("c2") == 0), "ref").otherwise("none")

@@ -170,6 +170,10 @@ _inner = lambda s, d: steps(s, d).filter("class in ('c1', 'c2')").select("node")
 register("bubble_paths", lambda s, d: graph.bubbles(_edges(s, d), _inner(s, d), 2).select(F.array_join("path", ">").alias("path"), "dst"), "recursive!" + GRAPH + ", walk as (select dst as here, [src, dst] as path, 1 as k from g where src not in (select node from inn) and dst in (select node from inn) union all select g.dst, list_append(path, g.dst), k + 1 from walk join g on g.src = here where g.dst in (select node from inn) and k < 2 and not list_contains(path, g.dst)) ==== select array_to_string(path, '>') as path, g.dst from walk join g on g.src = here where g.dst not in (select node from inn)", "path dst")
 register("reachability", lambda s, d: graph.reachable(_edges(s, d), 3), "recursive!" + GRAPH + ", walk as (select distinct src, dst, 1 as steps from g union select walk.src, g.dst, steps + 1 from walk join g on g.src = walk.dst where steps < 3) ==== select src, dst, min(steps) as steps from walk group by 1, 2", "src dst steps:i")
 register("mutex_edges", lambda s, d: graph.exclusive_edges(_edges(s, d), graph.reachable(_edges(s, d), 1)), GRAPH + "==== select a.src, a.dst as one, b.dst as two from g a join g b on a.src = b.src and a.dst < b.dst where not exists (select 1 from g where src = a.dst and dst = b.dst) and not exists (select 1 from g where src = b.dst and dst = a.dst)", "src one two")
+_supported = lambda s, d: paths.successors(steps(s, d)).select("src", "dst")  # noqa: E731  edges with the reference's support, for the whole closure
+CLOSURE = SUPPORT + ", g as (select src, dst from support where n >= 3), bound as (select count(*) as most from (select src from g union select dst from g)), walk as (select src, dst, 1 as steps from g union select walk.src, g.dst, steps + 1 from walk join g on g.src = walk.dst cross join bound where steps < most), closure as (select src, dst, min(steps) as steps from walk group by 1, 2)"
+register("reachability_closure", lambda s, d: graph.reachable(_supported(s, d), None), "recursive!" + CLOSURE + "==== select * from closure", "src dst steps:i")
+register("mutex_edges_closure", lambda s, d: graph.exclusive_pairs(_supported(s, d), graph.reachable(_supported(s, d), None)), "recursive!" + CLOSURE + "==== select a.src as src1, a.dst as dst1, b.src as src2, b.dst as dst2 from g a join g b on (a.src, a.dst) < (b.src, b.dst) and a.dst <> b.src and b.dst <> a.src where not exists (select 1 from closure c where c.src = a.dst and c.dst = b.src) and not exists (select 1 from closure c where c.src = b.dst and c.dst = a.src)", "src1 dst1 src2 dst2")
 COUNTS = S + ", k as (select node, max(size) as size, count(*) filter (path_id % 3 = 0) as c1, count(*) filter (path_id % 3 = 1 and class <> 'c1') as c2, count(*) filter (class = 'ref') as ref from steps group by 1), cls as (select *, case when c1 > 3*c2 then 'c1' when c2 > 3*c1 then 'c2' when ref > 0 and c1 = 0 and c2 = 0 then 'ref' else 'none' end as class from k)"
 
 
