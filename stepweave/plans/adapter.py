@@ -39,6 +39,6 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(p, l["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").alias("path_id"), F.col("l_partkey").alias("node"), size.cast("long").alias("size"), (q % size).alias("start"), F.least(size.cast("long"), q % size + q * 3).alias("end"))
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spans(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
-    return read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("key"), F.col("o_orderkey").alias("id"), day.alias("start"), (day + F.col("o_orderkey") % 9).alias("end"))
+    return read(spark, sf_dir, "orders").filter(where).select((F.col("o_custkey") % 50).alias("key"), F.col("o_orderkey").alias("id"), day.alias("start"), (day + F.col("o_orderkey") % 9).alias("end"))

@@ -138,6 +138,20 @@ register("interval_anti", lambda s, d: intervals.semi(_left(s, d), _right(s, d),
 _at = lambda df: df.select("key", "id", F.col("start").alias("at"))
 register("band_intersect", lambda s, d: intervals.band_pairs(_at(_left(s, d)), _at(_right(s, d)), 7), ODD_EVEN + "==== select l.key, count(*) as n from l join r on l.key = r.key and abs(l.s - r.s) <= 7 group by 1", "key:i n:i")
 register("band_anti", lambda s, d: intervals.band_anti(_at(_left(s, d)), _at(_right(s, d)), 7).select("key", "id"), ODD_EVEN + "==== select key, id from l where not exists (select 1 from r where l.key = r.key and abs(l.s - r.s) <= 7)", "key:i id:i")
+# The same over all orders: open ones against the rest.
+WHOLE = I + ", l as (select spans.* from spans join orders on o_orderkey = id where o_orderstatus = 'O'), r as (select spans.* from spans join orders on o_orderkey = id where o_orderstatus is distinct from 'O')"
+_open = lambda s, d: spans(s, d, "o_orderstatus = 'O'")
+_rest = lambda s, d: spans(s, d, "not o_orderstatus <=> 'O'")
+for _name, _make in {
+    "interval_overlap": lambda s, d: intervals.overlaps(_open(s, d), _rest(s, d)).select("key", "l_id", "r_id"),
+    "count_overlaps": lambda s, d: intervals.count_overlaps(_open(s, d), _rest(s, d)),
+    "interval_semi": lambda s, d: intervals.semi(_open(s, d), _rest(s, d)).select("key", "id"),
+    "interval_anti": lambda s, d: intervals.semi(_open(s, d), _rest(s, d), keep=False).select("key", "id"),
+    "band_intersect": lambda s, d: intervals.band_pairs(_at(_open(s, d)), _at(_rest(s, d)), 7),
+    "band_anti": lambda s, d: intervals.band_anti(_at(_open(s, d)), _at(_rest(s, d)), 7).select("key", "id"),
+}.items():
+    register(f"{_name}_whole", _make)
+    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(ODD_EVEN, WHOLE)
 register("region_bounds", lambda s, d: spans(s, d).groupBy("key").agg((F.min("start") - 60).alias("start"), (F.max("end") + 60).alias("end"), F.countDistinct("id").alias("n")), I + '==== select key, min(s) - 60 as start, max(e) + 60 as "end", count(distinct id) as n from spans group by 1', "key:i start:i end:i n:i")
 
 CALLS = "calls as (select concat('v', cast(l_partkey as varchar)) as variant, min(l_suppkey) as pos, max(l_suppkey) as stop, min(l_returnflag) as copy, max(case when l_quantity >= 49 then l_linestatus end) as clinsig from lineitem group by 1)"
