@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,15 +95,16 @@ def _placed(shared):
             n, k = lists.shape
             none = pa.nulls(n * k, pa.binary())
             i = pa.array(np.repeat(np.arange(n), k))
-            member = pa.RecordBatch.from_arrays([pa.array(lists[:, 0]), batch.column("rep"), batch.column("copies"), pa.array(np.zeros(n, np.int32)), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=_NAMES)
-            query = pa.RecordBatch.from_arrays([pa.array(lists.ravel()), batch.column("rep").take(i), batch.column("copies").take(i), pa.array(np.ones(n * k, np.int32)), batch.column("v").take(i), none, pa.array(np.zeros(n * k))], names=_NAMES)
+            near = pa.array(lists.tolist(), pa.list_(pa.int64()))
+            member = pa.RecordBatch.from_arrays([pa.array(lists[:, 0]), batch.column("rep"), batch.column("copies"), pa.array(np.zeros(n, np.int32)), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), near], names=_NAMES)
+            query = pa.RecordBatch.from_arrays([pa.array(lists.ravel()), batch.column("rep").take(i), batch.column("copies").take(i), pa.array(np.ones(n * k, np.int32)), batch.column("v").take(i), none, pa.array(np.zeros(n * k)), near.take(i)], names=_NAMES)
             yield member
             yield query
 
     return rows
 
 
-_NAMES = ["list", "rep", "copies", "role", "v", "codes", "error"]
+_NAMES = ["list", "rep", "copies", "role", "v", "codes", "error", "probed"]
 
 
 def _links(shared):
@@ -124,7 +127,8 @@ def _links(shared):
         codes = np.frombuffer(b"".join(table["codes"].take(pa.array(members)).to_pylist()), np.uint8).reshape(len(members), -1)
         error = table["error"].to_numpy()[members]
         most = np.sqrt(2 - 2 * q.threshold)
-        count, parent, found = np.zeros(len(queries), np.int64), {}, []
+        count, back, parent, found = np.zeros(len(queries), np.int64), np.zeros(len(members), np.int64), {}, []
+        probed = _matrix(table["probed"].combine_chunks())
 
         def root(v):
             while parent.setdefault(v, v) != v:
@@ -144,45 +148,31 @@ def _links(shared):
             good = np.concatenate([(x[own[i[k : k + 65536]]] * x[members[j[k : k + 65536]]]).sum(axis=1) >= q.threshold for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
             i, j = i[good], j[good]
             np.add.at(count, s + i, copies[members[j]])
+            only = (probed[members[j]] != probed[own[i], :1]).all(axis=1)  # the member does not probe the query's list
+            np.add.at(back, j[only], copies[own[i[only]]])
             for a, b in zip(rep[own[i]].tolist(), rep[members[j]].tolist()):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
         found = [(v, root(v)) for v in list(parent) if root(v) != v]
-        some = np.flatnonzero(count)
-        a = np.concatenate([rep[queries[some]], np.array([f[0] for f in found], np.int64)])
-        b = np.concatenate([rep[queries[some]], np.array([f[1] for f in found], np.int64)])
-        n = np.concatenate([count[some], np.zeros(len(found), np.int64)])
+        some, more = np.flatnonzero(count), np.flatnonzero(back)
+        a = np.concatenate([rep[queries[some]], rep[members[more]], np.array([f[0] for f in found], np.int64)])
+        b = np.concatenate([rep[queries[some]], rep[members[more]], np.array([f[1] for f in found], np.int64)])
+        n = np.concatenate([count[some], back[more], np.zeros(len(found), np.int64)])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return links
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector; two link at a cosine of at least the threshold, in double precision.
-
-    Vectors that are null, zero, of another length than most, or with null or non-finite components link with nothing.
-    Equal vectors are one in the search and count as links of each other; an empty table gives an empty result.
-    Lists larger than BLOCK are split into blocks of members and of queries, so that a hot list is many groups of bounded
-    size. Rows that repeat a vec_id count as copies of their vector. Columns other than vec_id and embedding are not read.
-    """
-    spark = vectors.sparkSession
-    small_batches(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    usable = F.coalesce(finite & F.exists("v", lambda e: e != 0) & (F.size("v") > 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    marked, _ = materialize(rows.select("vec_id", F.when(usable, F.transform("v", lambda e: e + 0.0)).alias("v")), "vectors")
-    dims = marked.filter("v is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    alone = marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if dims is None:
-        return alone
-    good = marked.filter(F.size("v") == dims[0])
+def _searched(good: DataFrame, threshold: float) -> DataFrame:
+    """v, n, c of each distinct vector: links and component; all vectors are of one length."""
+    spark = good.sparkSession
     distinct, _ = materialize(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct")
     n = distinct.count()
     sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()["v"]
     quantiser = Quantiser(_unit(np.stack([np.asarray(v, float) for v in sample])), n, threshold)
     shared = spark.sparkContext.broadcast(quantiser)
-    kind = "list long, rep long, copies long, role int, v array<double>, codes binary, error double"
+    kind = "list long, rep long, copies long, role int, v array<double>, codes binary, error double, probed array<long>"
     placed, _ = materialize(distinct.select("v", "rep", "copies").mapInArrow(_placed(shared), kind), "placed")
     size = placed.groupBy("list").agg(F.sum(F.expr("1 - role")).alias("m"), F.sum("role").alias("q"))
     size = size.select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb")).filter("mb > 0")
@@ -194,6 +184,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     found, _ = materialize(found, "found")
     counted = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     linked = components(found.filter("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
-    by_vector = distinct.join(counted, "rep", "left").join(linked, "rep", "left").select("v", F.expr("coalesce(others, 0) + copies - 1").alias("n"), F.coalesce("component", "rep").alias("c"))
+    return distinct.join(counted, "rep", "left").join(linked, "rep", "left").select("v", F.expr("coalesce(others, 0) + copies - 1").alias("n"), F.coalesce("component", "rep").alias("c"))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector; two link at a cosine of at least the threshold, in double precision.
+
+    Vectors that are null, zero, or with null or non-finite components link with nothing.
+    Each length is a group of its own, searched one after the other. A link found from one side counts for both.
+    Equal vectors are one in the search and count as links of each other; an empty table gives an empty result.
+    Lists larger than BLOCK are split into blocks of members and of queries, so that a hot list is many groups of bounded
+    size. Rows that repeat a vec_id count as copies of their vector. Columns other than vec_id and embedding are not read.
+    """
+    spark = vectors.sparkSession
+    small_batches(spark)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    usable = F.coalesce(finite & F.exists("v", lambda e: e != 0) & (F.size("v") > 0), F.lit(False)) & F.col("vec_id").isNotNull()
+    marked, _ = materialize(rows.select("vec_id", F.when(usable, F.transform("v", lambda e: e + 0.0)).alias("v")), "vectors")
+    dims = [d[0] for d in marked.filter("v is not null").groupBy(F.size("v").alias("dim")).count().filter("count > 1").orderBy("dim").collect()]
+    alone = marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if not dims:
+        return alone
+    by_vector = reduce(DataFrame.unionByName, [_searched(marked.filter(F.size("v") == d), threshold) for d in dims])
     out = marked.join(by_vector, "v", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
