@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.operators.order import running
 from stepweave.operators.paths import by_path
 
 
@@ -43,17 +44,38 @@ def edge_sides(steps: DataFrame) -> DataFrame:
     return both.filter("enode is not null").groupBy("node", "enode", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
-def mode_estimate(values: DataFrame, least: float = 0.0) -> DataFrame:
-    """The densest run of values less than a tenth of the mean apart; its median. values has x; the mean is over all x.
+def mode_estimate(values: DataFrame, least: float = 0.0, share: float = 0.1) -> DataFrame:
+    """The densest run of values less than a tenth of the mean apart; its median, and its size. values has x; the mean is over all x.
 
-    A value's run is found over a range window of distinct values, which are few where values are counts; ties go to the least start.
+    Runs begin at values of at least `least`; ties go to the least start. How many values lie before each value and before the end of its run
+    comes from one running sum over distinct values and run ends, dealt by range: nothing is joined by inequality.
     """
-    width = values.agg((F.avg("x") * 0.1).alias("w"))
+    width = values.agg((F.avg("x") * share).alias("w"))
     counts = values.groupBy("x").agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(width))  # one row
-    runs = counts.alias("a").join(counts.alias("b"), F.expr("b.x >= a.x and b.x - a.x < a.w")).filter(F.col("a.x") >= least)
-    best = runs.groupBy(F.col("a.x").alias("x")).agg(F.sum("b.k").alias("n"), F.max("a.w").alias("w")).orderBy(F.desc("n"), "x").limit(1)
-    inside = values.alias("v").join(F.broadcast(best).alias("r"), F.expr("v.x >= r.x and v.x - r.x < r.w"))
-    return inside.agg(F.percentile("v.x", F.lit(0.5)).alias("mode"), F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("long")
+    points = counts.select(F.col("x").alias("at"), F.lit(1).alias("kind"), F.col("x").alias("of"), F.col("k"))
+    # a difference below the width, taken as the strict test takes it: the end is the first value that is not inside
+    points = points.unionByName(counts.select((F.col("x") + F.col("w")).alias("at"), F.lit(0).alias("kind"), F.col("x").alias("of"), none.alias("k")))
+    run = running(points, ["at", "kind", "of"], "k")
+    begins = run.filter("kind = 1").select("of", (F.col("run") - F.col("k")).alias("before"))
+    ends = run.filter("kind = 0").select("of", F.col("run").alias("until"))
+    best = begins.join(ends, "of").filter(F.col("of") >= least).select(F.col("of").alias("x"), (F.col("until") - F.col("before")).alias("n")).orderBy(F.desc("n"), "x").limit(1)
+    best = best.crossJoin(width)  # one row each
+    inside = values.crossJoin(F.broadcast(best.select(F.col("x").alias("low"), "w"))).filter((F.col("x") >= F.col("low")) & (F.col("x") < F.col("low") + F.col("w")))
+    return inside.agg(F.percentile("x", F.lit(0.5)).alias("mode"), F.count(F.lit(1)).alias("n"))
+
+
+def whole_bins(aligned: DataFrame, width: int = 50) -> DataFrame:
+    """node, class, bin, coverage of all bins of the nodes that reads touch, 0 where none does. aligned: node, class, size, start, end."""
+    bins = aligned.select("node", "class", "size").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / width))))
+    return bins.join(binned_coverage(aligned, width), ["node", "bin"], "left").select("node", "class", "bin", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
+
+def coverage_copy_number(aligned: DataFrame, width: int = 50, least: float = 3.0) -> DataFrame:
+    """flank, module, cn: the modes of the bins' coverage on ref and on none nodes, and twice the second over the first."""
+    bins = whole_bins(aligned.filter(F.col("class").isin("ref", "none")), width)
+    one, two = (mode_estimate(bins.filter(F.col("class") == c).select(F.col("coverage").alias("x")), least).select(F.col("mode").alias(n)) for c, n in (("ref", "flank"), ("none", "module")))
+    return one.crossJoin(F.broadcast(two)).select("flank", "module", F.try_divide(2 * F.col("module"), F.col("flank")).alias("cn"))
 
 
 def normalised_coverage(steps: DataFrame) -> DataFrame:
@@ -73,6 +95,6 @@ def allele_balance(steps: DataFrame, region: DataFrame) -> DataFrame:
 def n50(lengths: DataFrame) -> DataFrame:
     """median, longest and n50 of lengths (column length): the first one, ascending, at which the running sum passes half."""
     counts = lengths.groupBy("length").agg((F.sum("length")).alias("part"))
-    running = counts.withColumn("run", F.sum("part").over(Window.orderBy("length"))).withColumn("all", F.sum("part").over(Window.partitionBy()))
-    half = running.filter("run > all / 2").agg(F.min("length").alias("n50"))
+    total = counts.agg(F.sum("part").alias("all"))
+    half = running(counts, ["length"], "part").crossJoin(F.broadcast(total)).filter("run > all / 2").agg(F.min("length").alias("n50"))
     return lengths.agg(F.percentile("length", F.lit(0.5)).alias("median"), F.max("length").alias("longest")).crossJoin(half)

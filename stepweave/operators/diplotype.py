@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.operators.order import running
+
 
 def pair_copies(hap_cov: DataFrame) -> DataFrame:
     """hap1 <= hap2, node, copies: how often each pair of haplotypes (hap, node, n) passes a node. Haplotypes are candidates, few by design."""
@@ -34,7 +38,11 @@ def pair_metrics(read_cov: DataFrame, hap_cov: DataFrame) -> DataFrame:
 
 
 def _log_factorial(n):
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    """ln n!: a list of the first twelve, Stirling's series from there on (exact to ten places)."""
+    x = F.greatest(n, F.lit(12)).cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    few = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(12)))
+    return F.when(n < 12, F.get(few, n.cast("int"))).otherwise(series)
 
 
 def _binomial(reads, p):
@@ -54,11 +62,11 @@ def pair_likelihood(read_cov: DataFrame, hap_cov: DataFrame, error: float = 0.01
 
 def composite_rank(scores: DataFrame, ratio: list[str], spread: list[str]) -> DataFrame:
     """rank: mean of 1 - adjusted metrics; `ratio` ones over their maximum, `spread` ones between minimum and maximum."""
-    every = Window.partitionBy()
-    adjusted = [F.try_divide(F.col(c), F.max(c).over(every)) for c in ratio]
-    adjusted += [F.try_divide(F.col(c) - F.min(c).over(every), F.max(c).over(every) - F.min(c).over(every)) for c in spread]
+    totals = scores.agg(*(F.max(c).alias(f"_max_{c}") for c in [*ratio, *spread]), *(F.min(c).alias(f"_min_{c}") for c in spread))
+    adjusted = [F.try_divide(F.col(c), F.col(f"_max_{c}")) for c in ratio]
+    adjusted += [F.try_divide(F.col(c) - F.col(f"_min_{c}"), F.col(f"_max_{c}") - F.col(f"_min_{c}")) for c in spread]
     total = sum((1 - F.coalesce(a, F.lit(0.0)) for a in adjusted), F.lit(0.0))
-    return scores.withColumn("rank", total / len(adjusted))
+    return scores.crossJoin(F.broadcast(totals)).withColumn("rank", total / len(adjusted)).drop(*totals.columns)  # one row
 
 
 def rank_last(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -85,5 +93,5 @@ def adjusted_similarity(pairs: DataFrame, least: int, clusters: int, n: int) ->
 def quantile_at(rows: DataFrame, value: str, q: float) -> DataFrame:
     """The value at place floor(n q) in ascending order, without interpolation; found in counts of distinct values."""
     counts = rows.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("k"))
-    run = counts.withColumn("run", F.sum("k").over(Window.orderBy("value"))).withColumn("all", F.sum("k").over(Window.partitionBy()))
-    return run.filter(F.col("run") > F.floor(F.col("all") * q)).agg(F.min("value").alias("value"))
+    total = counts.agg(F.sum("k").alias("all"))
+    return running(counts, ["value"], "k").crossJoin(F.broadcast(total)).filter(F.col("run") > F.floor(F.col("all") * q)).agg(F.min("value").alias("value"))

@@ -60,13 +60,6 @@ def reachable(edges: DataFrame, most: int | None = 3) -> DataFrame:
     return known
 
 
-def exclusive_edges(edges: DataFrame, reach: DataFrame) -> DataFrame:
-    """Pairs of edges with one source of which neither end reaches the other's: a.dst, b.dst."""
-    pairs = edges.select("src", F.col("dst").alias("one")).join(edges.select("src", F.col("dst").alias("two")), "src").filter("one < two")
-    r = reach.select(F.col("src").alias("f"), F.col("dst").alias("t"))
-    return pairs.join(r, F.expr("one = f and two = t"), "left_anti").join(r, F.expr("two = f and one = t"), "left_anti")
-
-
 def exclusive_pairs(edges: DataFrame, reach: DataFrame) -> DataFrame:
     """All pairs of edges that no walk passes both of: src1, dst1 < src2, dst2. reach: the whole closure, reachable(edges, None)."""
     e = _settled(edges.select("src", "dst").distinct())

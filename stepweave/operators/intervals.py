@@ -47,3 +47,16 @@ def band_anti(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
     near = right.select(F.col("key").alias("k"), F.col("at").alias("q"), F.explode(F.array(*(F.floor(F.col("at") / w) + i for i in (-1, 0, 1)))).alias("near_bin"))
     own = left.withColumn("bin", F.floor(F.col("at") / w))
     return own.join(near, F.expr(f"key = k and bin = near_bin and abs(at - q) <= {int(reach)}"), "left_anti").drop("bin")
+
+
+def flagged(left: DataFrame, right: DataFrame, width: int = 64) -> DataFrame:
+    """Left intervals with any: whether some right one overlaps them."""
+    hit = overlaps(left, right, width).select("key", F.col("l_id").alias("id"), F.lit(True).alias("any")).distinct()
+    return left.join(hit, ["key", "id"], "left").withColumn("any", F.coalesce("any", F.lit(False)))
+
+
+def band_anti_tally(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
+    """key, kept, removed: how many left positions band_anti keeps and removes."""
+    kept = band_anti(left, right, reach).groupBy("key").agg(F.count(F.lit(1)).alias("kept"))
+    n = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(kept, "key", "left")
+    return n.select("key", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("removed"))

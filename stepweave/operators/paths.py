@@ -116,27 +116,34 @@ def marker_windows(steps: DataFrame, k: int = 10, purity: int = 4) -> DataFrame:
 
 
 def fusions(steps: DataFrame, k: int = 10, purity: int = 4) -> DataFrame:
-    """Windows whose two sides favour different modules, where the marker before is of the upstream one and this one is not."""
-    previous = markers(steps).select("path_id", (F.col("marker_pos") + 1).alias("marker_pos"), F.col("class").alias("before"))
-    return marker_windows(steps, k, purity).join(previous, ["path_id", "marker_pos"]).filter("up <> down and before = up and class <> before").select("path_id", "pos", "node", "up", "down")
+    """Windows whose two sides favour different modules, at a marker of the upstream one that one of the other follows: the breakpoint is after it."""
+    following = markers(steps).select("path_id", "marker_pos", F.lead("class").over(by_path()).alias("after"))
+    rows = marker_windows(steps, k, purity).join(following, ["path_id", "marker_pos"])
+    return rows.filter("up <> down and class = up and after <> class").select("path_id", "pos", "node", "up", "down")
 
 
 def local_copy(steps: DataFrame, k: int = 5, purity: int = 3) -> DataFrame:
-    """The module that the k markers before or at a step and the k after it favour: all together for c2, after, before, all together for c1."""
-    frame_up, frame_down = by_path().rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("path_id")
+    """The module that markers around a step favour: the k nearest up to it, and the k nearest from two steps after it on.
+
+    The step right after it, which tells alleles apart, is on neither side. In turn: c2 by all of them, by those after, by those before; c1 by all.
+    """
+    so_far = by_path().rowsBetween(Window.unboundedPreceding, 0)
     rows = steps
     for c in ("c1", "c2"):
-        rows = rows.withColumn(f"n_{c}", F.sum((F.col("class") == c).cast("int")).over(frame_up))
-    rows = rows.withColumn("m", F.col("n_c1") + F.col("n_c2")).withColumn("all", F.max(F.col("n_c1") + F.col("n_c2")).over(by_path().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        rows = rows.withColumn(f"n_{c}", F.sum((F.col("class") == c).cast("int")).over(so_far))
+    total = F.max(F.col("n_c1") + F.col("n_c2")).over(by_path().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("m", F.col("n_c1") + F.col("n_c2")).withColumn("all", total)
+    for c in ("m", "n_c1"):  # markers up to the next step, or all at the end
+        rows = rows.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(by_path()), F.col(c)))
     at = markers(steps).select("path_id", (F.col("marker_pos") + 1).alias("m"), F.sum((F.col("class") == "c1").cast("int")).over(by_path()).alias("t_c1"))
     zero = steps.select("path_id").distinct().select("path_id", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("t_c1"))
     at = at.unionByName(zero)
     low = at.select("path_id", F.col("m").alias("low"), F.col("t_c1").alias("low_c1"))
     high = at.select("path_id", F.col("m").alias("high"), F.col("t_c1").alias("high_c1"))
-    rows = rows.withColumn("low", F.greatest(F.col("m") - k, F.lit(0))).withColumn("high", F.least(F.col("m") + k, F.col("all")))
+    rows = rows.withColumn("low", F.greatest(F.col("m") - k, F.lit(0))).withColumn("high", F.least(F.col("next_m") + k, F.col("all")))
     rows = rows.join(low, ["path_id", "low"]).join(high, ["path_id", "high"])
-    up1, down1 = F.col("n_c1") - F.col("low_c1"), F.col("high_c1") - F.col("n_c1")
-    up2, down2 = F.col("m") - F.col("low") - up1, F.col("high") - F.col("m") - down1
+    up1, down1 = F.col("n_c1") - F.col("low_c1"), F.col("high_c1") - F.col("next_n_c1")
+    up2, down2 = F.col("m") - F.col("low") - up1, F.col("high") - F.col("next_m") - down1
     call = F.when(up2 + down2 > purity * (up1 + down1), "c2").when(down2 > purity * down1, "c2").when(up2 > purity * up1, "c2").when(up1 + down1 > purity * (up2 + down2), "c1")
     return rows.select("path_id", "pos", up1.cast("long").alias("up_c1"), up2.cast("long").alias("up_c2"), down1.cast("long").alias("down_c1"), down2.cast("long").alias("down_c2"), call.alias("copy"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave import functions as fn
-from stepweave.operators import calls, copynumber, diplotype, graph, intervals, paths
+from stepweave.operators import calls, copynumber, diplotype, graph, haplotypes, intervals, locus, paths, variants
+from stepweave.plans import locus_queries
 from stepweave.plans.adapter import INTERVALS_SQL, READS_SQL, STEPS_SQL, read, reads, spans, steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +48,7 @@ SUBS = S + """, cuts as (select *, case when pos > 0 and (class = 'cyc_l' or coa
     coalesce(first_value(case when class = 'ref' then 'flank' when class in ('c1','c2','cyc_l','cyc_r') then 'module' end ignore nulls) over (partition by path_id, sub order by pos rows between unbounded preceding and unbounded following), 'none') as grp from numbered)"""
 MARKERS = S + ", markers as (select *, row_number() over (partition by path_id order by pos) - 1 as marker_pos, count(*) over (partition by path_id) as total from steps where class in ('c1','c2'))"
 WINDOWS = MARKERS + """, w as (select *, sum((class='c1')::int) over up as up_c1, sum((class='c2')::int) over up as up_c2, sum((class='c1')::int) over down as down_c1, sum((class='c2')::int) over down as down_c2,
-    lag(class) over (partition by path_id order by pos) as before from markers
+    lead(class) over (partition by path_id order by pos) as after from markers
     window up as (partition by path_id order by pos rows between 3 preceding and 1 preceding), down as (partition by path_id order by pos rows between current row and 2 following)),
   windows as (select *, case when up_c1 > 4*up_c2 then 'c1' when up_c2 > 4*up_c1 then 'c2' end as up, case when down_c1 > 4*down_c2 then 'c1' when down_c2 > 4*down_c1 then 'c2' end as down from w where marker_pos >= 3 and marker_pos < total - 3 and total > 6)"""
 
@@ -65,13 +66,12 @@ register("subread_filter", lambda s, d: paths.drop_lone_flanks(paths.split_subre
 register("informative_paths", lambda s, d: paths.informative(steps(s, d)).select("path_id", "pos", "node"), S + "==== select * from steps where path_id in (select path_id from steps where class in ('c1','c2'))", "path_id:i pos:i node")
 register("subread_select", lambda s, d: paths.select_module(paths.split_subreads(steps(s, d)), "c1", 2), SUBS + "==== select path_id, sub, count(*) filter (class in ('c1','c2')) as inf, count(*) filter (class = 'c1') as own from subs group by 1, 2 having count(*) filter (class in ('c1','c2')) > 2 and count(*) filter (class = 'c1') > 0.5 * count(*) filter (class in ('c1','c2'))", "path_id:i sub:i inf:i own:i")
 register("marker_windows", lambda s, d: paths.marker_windows(steps(s, d), 3), WINDOWS + "==== select * from windows", "path_id:i pos:i node class marker_pos:i up_c1:i up_c2:i down_c1:i down_c2:i up down")
-register("fusion_candidates", lambda s, d: paths.fusions(steps(s, d), 3), WINDOWS + "==== select * from windows where up <> down and before = up and class <> before", "path_id:i pos:i node up down")
 register("module_ordinal", lambda s, d: paths.module_ordinal(steps(s, d)), S + "==== select *, 1 + coalesce(sum((class='cyc_r')::int) over (partition by path_id order by pos rows between unbounded preceding and 1 preceding), 0) as module from steps", "path_id:i pos:i node module:i")
 register("nearest_markers", lambda s, d: paths.local_copy(steps(s, d)), S + """, c as (select *, sum((class='c1')::int) over (partition by path_id order by pos) as n1, sum((class='c2')::int) over (partition by path_id order by pos) as n2 from steps),
   o as (select path_id, n1 + n2 as m, n1 as t from c where class in ('c1','c2') union all select distinct path_id, 0, 0 from steps),
-  z as (select c.*, n1 + n2 as m, max(n1 + n2) over (partition by path_id) as a from c),
-  y as (select z.*, greatest(z.m - 5, 0) as low, least(z.m + 5, a) as high from z),
-  x as (select y.path_id, y.pos, y.n1 - l.t as up_c1, (y.m - low) - (y.n1 - l.t) as up_c2, h.t - y.n1 as down_c1, (high - y.m) - (h.t - y.n1) as down_c2 from y join o l on l.path_id = y.path_id and l.m = low join o h on h.path_id = y.path_id and h.m = high)
+  z as (select c.*, n1 + n2 as m, max(n1 + n2) over (partition by path_id) as a, coalesce(lead(n1 + n2) over (partition by path_id order by pos), n1 + n2) as nm, coalesce(lead(n1) over (partition by path_id order by pos), n1) as nn1 from c),
+  y as (select z.*, greatest(z.m - 5, 0) as low, least(z.nm + 5, a) as high from z),
+  x as (select y.path_id, y.pos, y.n1 - l.t as up_c1, (y.m - low) - (y.n1 - l.t) as up_c2, h.t - y.nn1 as down_c1, (high - y.nm) - (h.t - y.nn1) as down_c2 from y join o l on l.path_id = y.path_id and l.m = low join o h on h.path_id = y.path_id and h.m = high)
 ==== select *, case when up_c2 + down_c2 > 3*(up_c1 + down_c1) then 'c2' when down_c2 > 3*down_c1 then 'c2' when up_c2 > 3*up_c1 then 'c2' when up_c1 + down_c1 > 3*(up_c2 + down_c2) then 'c1' end as copy from x""", "path_id:i pos:i up_c1:i up_c2:i down_c1:i down_c2:i copy")
 PAIRS = SUBS + ", allele as (select node as marker, lead(node) over (partition by path_id order by pos) as allele, class from subs), counts as (select marker, allele, count(*) as n from allele where class = 'none' and allele is not null group by 1, 2)"
 register("marker_profile", lambda s, d: paths.marker_profile(paths.split_subreads(steps(s, d))), PAIRS + "==== select * from counts where marker in (select marker from counts where n >= 3 group by 1 having count(*) >= 2)", "marker allele n:i")
@@ -89,12 +89,12 @@ register("allele_balance", lambda s, d: copynumber.allele_balance(steps(s, d), p
 register("read_n50", lambda s, d: copynumber.n50(steps(s, d).groupBy("path_id").agg(F.count(F.lit(1)).alias("length"))), S + ", l as (select count(*) as length from steps group by path_id), r as (select length, sum(length) over (order by length) as run, sum(length) over () as a from l) ==== select (select median(length) from l) as median, (select max(length) from l) as longest, (select min(length) from r where run > a / 2) as n50", "median:f longest:i n50:i")
 register("pct_aligned", lambda s, d: reads(s, d).groupBy("path_id").agg(F.sum(F.col("end") - F.col("start")).alias("a"), F.sum("size").alias("b")).agg(F.percentile(100.0 * F.col("a") / F.col("b"), F.lit(0.5)).alias("median_pct"), F.count(F.lit(1)).alias("n")), READS_SQL + ", r as (select 100.0::double * sum(stop - start) / sum(size) as p from reads group by path_id) ==== select median(p) as median_pct, count(*) as n from r", "median_pct:f n:i")
 
-HAPS = S + ", rc as (select node, count(*) as n from steps group by 1), hc as (select path_id as hap, node, count(*) as n from steps where path_id < 12 group by 1, 2), hp as (select a.hap as hap1, b.hap as hap2 from (select distinct hap from hc) a join (select distinct hap from hc) b on a.hap <= b.hap), pc as (select hap1, hap2, node, sum(n) as c from (select hap1, hap2, node, n from hp join hc on hap = hap1 union all select hap1, hap2, node, n from hp join hc on hap = hap2) group by 1, 2, 3), f as (select hp.hap1, hp.hap2, rc.node, rc.n::double as r, coalesce(c, 0)::double as c from hp cross join rc left join pc on pc.hap1 = hp.hap1 and pc.hap2 = hp.hap2 and pc.node = rc.node)"
+HAPS = S + ", rc as (select node, count(*) as n from steps group by 1), md as (select path_id, count(*) filter (class = 'cyc_r') + 1 as modules, count(*) filter (class in ('c1','c2')) as own from steps group by 1), top as (select path_id from md qualify row_number() over (partition by modules order by own desc, path_id) <= 2), hc as (select path_id as hap, node, count(*) as n from steps where path_id in (select path_id from top) group by 1, 2), hp as (select a.hap as hap1, b.hap as hap2 from (select distinct hap from hc) a join (select distinct hap from hc) b on a.hap <= b.hap), pc as (select hap1, hap2, node, sum(n) as c from (select hap1, hap2, node, n from hp join hc on hap = hap1 union all select hap1, hap2, node, n from hp join hc on hap = hap2) group by 1, 2, 3), f as (select hp.hap1, hp.hap2, rc.node, rc.n::double as r, coalesce(c, 0)::double as c from hp cross join rc left join pc on pc.hap1 = hp.hap1 and pc.hap2 = hp.hap2 and pc.node = rc.node)"
 
 
 def _haps(s, d):
-    """Twelve paths stand in for the candidate haplotypes, which are few by design; all paths are reads."""
-    return paths.multiplicity(steps(s, d).filter("path_id < 12")).withColumnRenamed("path_id", "hap")
+    """Candidate haplotypes, chosen from all paths: the two with the most module-specific steps of each number of modules. All paths are reads."""
+    return haplotypes.top_haplotypes(steps(s, d), 2)
 
 
 METRICS = HAPS + ", m as (select hap1, hap2, median(r / c) filter (c > 0) as m from f group by 1, 2), metrics as (select f.hap1, f.hap2, case when var_pop(r) = 0 and var_pop(c) = 0 then 1 when var_pop(r) = 0 or var_pop(c) = 0 then 0.5 else covar_pop(r, c) / sqrt(var_pop(r) * var_pop(c)) end as cov_cor, sum(r*c) / (sqrt(sum(r*r)) * sqrt(sum(c*c))) as cov_cosine, -avg(abs(r - c * m)) as cov_dev from f join m using (hap1, hap2) group by 1, 2)"
@@ -127,31 +127,20 @@ def _label_cosine(s, d):
 
 
 I = INTERVALS_SQL  # noqa: E741
-ODD_EVEN = I + ", l as (select * from spans where id % 3 = 0), r as (select * from spans where id % 3 = 1)"
-_left = lambda s, d: spans(s, d).filter("id % 3 = 0")  # noqa: E731  two kinds of interval, as genes and repeats
-_right = lambda s, d: spans(s, d).filter("id % 3 = 1")
-register("interval_overlap", lambda s, d: intervals.overlaps(_left(s, d), _right(s, d)).select("key", "l_id", "r_id"), ODD_EVEN + "==== select l.key, l.id as l_id, r.id as r_id from l join r on l.key = r.key and l.s <= r.e and r.s <= l.e", "key:i l_id:i r_id:i")
-register("count_overlaps", lambda s, d: intervals.count_overlaps(_left(s, d), _right(s, d)), ODD_EVEN + "==== select l.key, l.id as l_id, count(r.id) as n from l left join r on l.key = r.key and l.s <= r.e and r.s <= l.e group by 1, 2", "key:i l_id:i n:i")
-register("interval_within", lambda s, d: intervals.within(spans(s, d), spans(s, d)), I + "==== select l.key, l.id as l_id, r.id as r_id from spans l join spans r on l.key = r.key and l.s >= r.s and l.e <= r.e and l.id <> r.id", "key:i l_id:i r_id:i")
-register("interval_semi", lambda s, d: intervals.semi(_left(s, d), _right(s, d)).select("key", "id"), ODD_EVEN + "==== select key, id from l where exists (select 1 from r where l.key = r.key and l.s <= r.e and r.s <= l.e)", "key:i id:i")
-register("interval_anti", lambda s, d: intervals.semi(_left(s, d), _right(s, d), keep=False).select("key", "id"), ODD_EVEN + "==== select key, id from l where not exists (select 1 from r where l.key = r.key and l.s <= r.e and r.s <= l.e)", "key:i id:i")
-_at = lambda df: df.select("key", "id", F.col("start").alias("at"))
-register("band_intersect", lambda s, d: intervals.band_pairs(_at(_left(s, d)), _at(_right(s, d)), 7), ODD_EVEN + "==== select l.key, count(*) as n from l join r on l.key = r.key and abs(l.s - r.s) <= 7 group by 1", "key:i n:i")
-register("band_anti", lambda s, d: intervals.band_anti(_at(_left(s, d)), _at(_right(s, d)), 7).select("key", "id"), ODD_EVEN + "==== select key, id from l where not exists (select 1 from r where l.key = r.key and abs(l.s - r.s) <= 7)", "key:i id:i")
-# The same over all orders: open ones against the rest.
+# Two kinds of interval, as genes and repeats: open orders against the rest, all of them.
 WHOLE = I + ", l as (select spans.* from spans join orders on o_orderkey = id where o_orderstatus = 'O'), r as (select spans.* from spans join orders on o_orderkey = id where o_orderstatus is distinct from 'O')"
 _open = lambda s, d: spans(s, d, "o_orderstatus = 'O'")
 _rest = lambda s, d: spans(s, d, "not o_orderstatus <=> 'O'")
-for _name, _make in {
-    "interval_overlap": lambda s, d: intervals.overlaps(_open(s, d), _rest(s, d)).select("key", "l_id", "r_id"),
-    "count_overlaps": lambda s, d: intervals.count_overlaps(_open(s, d), _rest(s, d)),
-    "interval_semi": lambda s, d: intervals.semi(_open(s, d), _rest(s, d)).select("key", "id"),
-    "interval_anti": lambda s, d: intervals.semi(_open(s, d), _rest(s, d), keep=False).select("key", "id"),
-    "band_intersect": lambda s, d: intervals.band_pairs(_at(_open(s, d)), _at(_rest(s, d)), 7),
-    "band_anti": lambda s, d: intervals.band_anti(_at(_open(s, d)), _at(_rest(s, d)), 7).select("key", "id"),
-}.items():
-    register(f"{_name}_whole", _make)
-    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(ODD_EVEN, WHOLE)
+_at = lambda df: df.select("key", "id", F.col("start").alias("at"))
+register("interval_overlap_whole", lambda s, d: intervals.overlaps(_open(s, d), _rest(s, d)).select("key", "l_id", "r_id"), WHOLE + "==== select l.key, l.id as l_id, r.id as r_id from l join r on l.key = r.key and l.s <= r.e and r.s <= l.e", "key:i l_id:i r_id:i")
+register("count_overlaps_whole", lambda s, d: intervals.count_overlaps(_open(s, d), _rest(s, d)), WHOLE + "==== select l.key, l.id as l_id, count(r.id) as n from l left join r on l.key = r.key and l.s <= r.e and r.s <= l.e group by 1, 2", "key:i l_id:i n:i")
+register("interval_within", lambda s, d: intervals.within(spans(s, d), spans(s, d)), I + "==== select l.key, l.id as l_id, r.id as r_id from spans l join spans r on l.key = r.key and l.s >= r.s and l.e <= r.e and l.id <> r.id", "key:i l_id:i r_id:i")
+register("interval_semi_whole", lambda s, d: intervals.semi(_open(s, d), _rest(s, d)).select("key", "id"), WHOLE + "==== select key, id from l where exists (select 1 from r where l.key = r.key and l.s <= r.e and r.s <= l.e)", "key:i id:i")
+register("interval_anti_whole", lambda s, d: intervals.semi(_open(s, d), _rest(s, d), keep=False).select("key", "id"), WHOLE + "==== select key, id from l where not exists (select 1 from r where l.key = r.key and l.s <= r.e and r.s <= l.e)", "key:i id:i")
+register("interval_flag_whole", lambda s, d: intervals.flagged(_open(s, d), _rest(s, d)).select("key", "id", F.col("any").cast("int").alias("any")), WHOLE + '==== select key, id, exists (select 1 from r where l.key = r.key and l.s <= r.e and r.s <= l.e)::int as "any" from l', "key:i id:i any:i")
+register("band_intersect_whole", lambda s, d: intervals.band_pairs(_at(_open(s, d)), _at(_rest(s, d)), 7), WHOLE + "==== select l.key, count(*) as n from l join r on l.key = r.key and abs(l.s - r.s) <= 7 group by 1", "key:i n:i")
+register("band_anti_whole", lambda s, d: intervals.band_anti(_at(_open(s, d)), _at(_rest(s, d)), 7).select("key", "id"), WHOLE + "==== select key, id from l where not exists (select 1 from r where l.key = r.key and abs(l.s - r.s) <= 7)", "key:i id:i")
+register("band_tally_whole", lambda s, d: intervals.band_anti_tally(_at(_open(s, d)), _at(_rest(s, d)), 7), WHOLE + ", f as (select key, exists (select 1 from r where l.key = r.key and abs(l.s - r.s) <= 7) as hit from l) ==== select key, count(*) filter (not hit) as kept, count(*) filter (hit) as removed from f group by 1", "key:i kept:i removed:i")
 register("region_bounds", lambda s, d: spans(s, d).groupBy("key").agg((F.min("start") - 60).alias("start"), (F.max("end") + 60).alias("end"), F.countDistinct("id").alias("n")), I + '==== select key, min(s) - 60 as start, max(e) + 60 as "end", count(distinct id) as n from spans group by 1', "key:i start:i end:i n:i")
 
 CALLS = "calls as (select concat('v', cast(l_partkey as varchar)) as variant, min(l_suppkey) as pos, max(l_suppkey) as stop, min(l_returnflag) as copy, max(case when l_quantity >= 49 then l_linestatus end) as clinsig from lineitem group by 1)"
@@ -178,16 +167,32 @@ register("calls_explode", lambda s, d: calls.explode_calls(_lists(s, d)), LISTS
 register("calls_pivot", lambda s, d: calls.pivot_calls(calls.explode_calls(_lists(s, d)), ["Pathogenic", "purchase_1", "view_2"]), LISTS + "==== select read, max((label = 'Pathogenic' and allele = 'alt')::int) as \"Pathogenic\", max((label = 'purchase_1' and allele = 'alt')::int) as purchase_1, max((label = 'view_2' and allele = 'alt')::int) as view_2 from long group by 1", "read Pathogenic:i purchase_1:i view_2:i")
 register("top_reads_per_variant", lambda s, d: calls.top_reads(paths.multiplicity(steps(s, d)).select(F.col("node").alias("variant"), F.col("path_id").alias("read"), F.col("n").alias("length")), 3), S + ", m as (select node as variant, path_id as read, count(*) as length from steps group by 1, 2) ==== select *, row_number() over (partition by variant order by length desc, read) as place from m qualify place <= 3", "variant read:i length:i place:i")
 
-_edges = lambda s, d: paths.successors(steps(s, d), 30).select("src", "dst")  # noqa: E731  edges with enough support, as the graph
-GRAPH = SUPPORT + ", g as (select src, dst from support where n >= 30), inn as (select distinct node from steps where class in ('c1','c2'))"
-_inner = lambda s, d: steps(s, d).filter("class in ('c1', 'c2')").select("node").distinct()
-register("bubble_paths", lambda s, d: graph.bubbles(_edges(s, d), _inner(s, d), 2).select(F.array_join("path", ">").alias("path"), "dst"), "recursive!" + GRAPH + ", walk as (select dst as here, [src, dst] as path, 1 as k from g where src not in (select node from inn) and dst in (select node from inn) union all select g.dst, list_append(path, g.dst), k + 1 from walk join g on g.src = here where g.dst in (select node from inn) and k < 2 and not list_contains(path, g.dst)) ==== select array_to_string(path, '>') as path, g.dst from walk join g on g.src = here where g.dst not in (select node from inn)", "path dst")
-register("reachability", lambda s, d: graph.reachable(_edges(s, d), 3), "recursive!" + GRAPH + ", walk as (select distinct src, dst, 1 as steps from g union select walk.src, g.dst, steps + 1 from walk join g on g.src = walk.dst where steps < 3) ==== select src, dst, min(steps) as steps from walk group by 1, 2", "src dst steps:i")
-register("mutex_edges", lambda s, d: graph.exclusive_edges(_edges(s, d), graph.reachable(_edges(s, d), 1)), GRAPH + "==== select a.src, a.dst as one, b.dst as two from g a join g b on a.src = b.src and a.dst < b.dst where not exists (select 1 from g where src = a.dst and dst = b.dst) and not exists (select 1 from g where src = b.dst and dst = a.dst)", "src one two")
 _supported = lambda s, d: paths.successors(steps(s, d)).select("src", "dst")  # noqa: E731  edges with the reference's support, for the whole closure
+BUBBLES = locus_queries.WALK + RNODE.removeprefix(S).replace("filled", "carried") + EDGES.removeprefix(S) + """, g as (select src, dst from edges where dst is not null group by 1, 2 having count(*) >= 3),
+  nd as (select c.node, c.size, rpos_min as lo, rpos_max as hi, rnode, class from coords c join (select distinct node, class from steps) using (node) left join region using (node)),
+  trail as (select node as start, node as here, [node] as path from nd where class = 'none'
+    union all select start, g.dst, list_append(path, g.dst) from trail join g on g.src = here join nd n on n.node = g.dst where n.rnode = start and not list_contains(path, g.dst))"""
+
+
+def _node_table(s, d):
+    at = locus.reference_coordinates(steps(s, d), steps(s, d).select("node", "size").distinct(), locus_queries.REF)
+    return at.join(steps(s, d).select("node", "class").distinct(), "node").join(paths.region_node(steps(s, d)), "node", "left")
+
+
+register("bubble_alleles", lambda s, d: variants.alleles(_node_table(s, d), paths.successors(steps(s, d)).select("src", "dst")).select("variant", F.size("alt").alias("n")), "recursive!" + BUBBLES + "==== select distinct array_to_string(list_append(path, g.dst), '_') as variant, len(path) + 1 as n from trail join g on g.src = here join nd n on n.node = g.dst join nd b on b.node = start where n.rnode is distinct from start and n.class = 'none' and len(path) > 1 and least(abs(n.lo - b.lo - b.size), abs(n.hi - b.hi - b.size)) < 50", "variant n:i")
 CLOSURE = SUPPORT + ", g as (select src, dst from support where n >= 3), bound as (select count(*) as most from (select src from g union select dst from g)), walk as (select src, dst, 1 as steps from g union select walk.src, g.dst, steps + 1 from walk join g on g.src = walk.dst cross join bound where steps < most), closure as (select src, dst, min(steps) as steps from walk group by 1, 2)"
 register("reachability_closure", lambda s, d: graph.reachable(_supported(s, d), None), "recursive!" + CLOSURE + "==== select * from closure", "src dst steps:i")
-register("mutex_edges_closure", lambda s, d: graph.exclusive_pairs(_supported(s, d), graph.reachable(_supported(s, d), None)), "recursive!" + CLOSURE + "==== select a.src as src1, a.dst as dst1, b.src as src2, b.dst as dst2 from g a join g b on (a.src, a.dst) < (b.src, b.dst) and a.dst <> b.src and b.dst <> a.src where not exists (select 1 from closure c where c.src = a.dst and c.dst = b.src) and not exists (select 1 from closure c where c.src = b.dst and c.dst = a.src)", "src1 dst1 src2 dst2")
+# Edges from regions to nations to groups of suppliers: no cycle, so that there are edges that exclude each other.
+TREE = "e as (select distinct concat('r', n_regionkey) as src, concat('n', n_nationkey) as dst from nation union select distinct concat('n', s_nationkey), concat('s', s_suppkey % 20) from supplier)"
+
+
+def _tree(s, d):
+    name = lambda k, c: F.concat(F.lit(k), c)
+    one = read(s, d, "nation").select(name("r", F.col("n_regionkey")).alias("src"), name("n", F.col("n_nationkey")).alias("dst"))
+    return one.unionByName(read(s, d, "supplier").select(name("n", F.col("s_nationkey")).alias("src"), name("s", F.col("s_suppkey") % 20).alias("dst"))).distinct()
+
+
+register("mutex_edges_closure", lambda s, d: graph.exclusive_pairs(_tree(s, d), graph.reachable(_tree(s, d), None)), TREE + ", closure as (select src, dst from e union select a.src, b.dst from e a join e b on a.dst = b.src) ==== select a.src as src1, a.dst as dst1, b.src as src2, b.dst as dst2 from e a join e b on (a.src, a.dst) < (b.src, b.dst) and a.dst <> b.src and b.dst <> a.src where not exists (select 1 from closure c where c.src = a.dst and c.dst = b.src) and not exists (select 1 from closure c where c.src = b.dst and c.dst = a.src)", "src1 dst1 src2 dst2")
 COUNTS = S + ", k as (select node, max(size) as size, count(*) filter (path_id % 3 = 0) as c1, count(*) filter (path_id % 3 = 1 and class <> 'c1') as c2, count(*) filter (class = 'ref') as ref from steps group by 1), cls as (select *, case when c1 > 3*c2 then 'c1' when c2 > 3*c1 then 'c2' when ref > 0 and c1 = 0 and c2 = 0 then 'ref' else 'none' end as class from k)"
 
 
@@ -212,3 +217,5 @@ def _texts(s, d):
 register("cigar_parse", lambda s, d: _texts(s, d).select(F.explode(fn.parse_cigar(F.col("cigar"))).alias("o")).groupBy("o.op").agg(F.sum("o.n").alias("bases"), F.count(F.lit(1)).alias("n")), TEXT + ", o as (select unnest(regexp_extract_all(cigar, '([0-9]+)([A-Z=])', 1)) as n, unnest(regexp_extract_all(cigar, '([0-9]+)([A-Z=])', 2)) as op from t) ==== select op, sum(n::bigint) as bases, count(*) as n from o group by 1", "op bases:i n:i")
 register("path_parse", lambda s, d: _texts(s, d).select(fn.mostly_reverse(F.col("p")).alias("flip"), F.explode(fn.parse_path(F.col("p"))).alias("s")).groupBy("flip", "s.strand", "s.node").agg(F.count(F.lit(1)).alias("n")), TEXT + ", o as (select length(p) - length(replace(p, '<', '')) > length(p) - length(replace(p, '>', '')) as flip, unnest(regexp_extract_all(p, '([<>])([^<>]+)', 1)) as strand, unnest(regexp_extract_all(p, '([<>])([^<>]+)', 2)) as node from t) ==== select flip, strand, node, count(*) as n from o group by 1, 2, 3", "flip strand node n:i")
 register("revcomp", lambda s, d: read(s, d, "part").select("p_partkey", fn.reverse_complement(F.translate(F.upper("p_name"), "BDEFHIJKLMOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTA")).alias("seq"), fn.preview(F.col("p_name")).alias("short")), "====select p_partkey, translate(reverse(translate(upper(p_name), 'BDEFHIJKLMOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTA')), 'ACGTN', 'TGCAN') as seq, case when length(p_name) < 10 then p_name else concat(substring(p_name, 1, 10), '+') end as short from part", "p_partkey:i seq short")
+
+locus_queries.add(register)
