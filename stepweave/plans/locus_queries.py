@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepweave.operators import copynumber, fusions, haplotypes, locus, order, paths, variants, views
 from stepweave.plans.adapter import INTERVALS_SQL, READS_SQL, STEPS_SQL, read, reads, spans, steps
+from stepweave.sources.loci import contig_bounds
 
 REF = 1  # the path that stands for the reference
 
@@ -165,8 +166,6 @@ def _counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _bounds(s: SparkSession, d: str) -> DataFrame:
-    from stepweave.sources.annotations import contig_bounds
-
     return contig_bounds(spans(s, d).withColumnRenamed("key", "contig")).withColumnRenamed("contig", "key")
 
 
