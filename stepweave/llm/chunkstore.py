@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import id_text, materialize, mix, prefix_hash, shared_dir, shuffles, slice_hash, text_blocks
+from stepweave.llm.rows import numbered
 from stepweave.llm.tokens import encoder, with_end
 
 WINDOW, LEAST, MEAN, MOST = 8, 64, 256, 1024
@@ -70,7 +71,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-_STAGED = "doc_id long, kind int, n_tokens long, digests binary, lengths binary, refs array<long>, payload binary"
+_STAGED = "row long, doc_id long, kind int, n_tokens long, digests binary, lengths binary, refs array<long>, payload binary"
 _SEGMENTS = "segment long, nth long, doc_id long, n_tokens long, before long, digests binary, lengths binary, owners binary, n_foreign long, n_shared long, payload binary, root binary"
 
 
@@ -92,11 +93,11 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
                     rows["payload"].append(squeeze.compress(data[s * width : e * width]))
                 k = j - i
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, k), pa.array(np.ones(k, np.int32)), pa.array(rows["n"], pa.int64()), pa.array(rows["digests"], pa.binary()), pa.array(rows["lengths"], pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(rows["payload"], pa.binary())],
-                    names=["doc_id", "kind", "n_tokens", "digests", "lengths", "refs", "payload"],
+                    [batch.column(2).slice(i, k), batch.column(0).slice(i, k), pa.array(np.ones(k, np.int32)), pa.array(rows["n"], pa.int64()), pa.array(rows["digests"], pa.binary()), pa.array(rows["lengths"], pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(rows["payload"], pa.binary())],
+                    names=["row", "doc_id", "kind", "n_tokens", "digests", "lengths", "refs", "payload"],
                 )
 
-    return id_text(docs).mapInArrow(encode_rows, _STAGED)
+    return numbered(id_text(docs)).select("doc_id", "text", "row").mapInArrow(encode_rows, _STAGED)
 
 
 def _segmented(width: int):
@@ -109,9 +110,9 @@ def _segmented(width: int):
             rows = []
             for r in batch.to_pylist():
                 if r["kind"] == 0:
-                    refs, held = {v >> 2: v & 3 for v in r["refs"]}, r["doc_id"]
+                    refs, held = {v >> 2: v & 3 for v in r["refs"]}, r["row"]
                     continue
-                own = dict(refs) if held == r["doc_id"] else {}
+                own = dict(refs) if held == r["row"] else {}
                 lengths = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
                 owners = np.ones(len(lengths), np.uint8)
                 for k, v in own.items():
@@ -134,29 +135,35 @@ def _segmented(width: int):
     return cut_rows
 
 
+def _sealed(segments: DataFrame) -> DataFrame:
+    """The manifest that the segments' rows give: segment, n_docs, n_tokens, root."""
+
+    def seal(table: pa.Table) -> pa.Table:
+        table = table.sort_by("nth")
+        return pa.table({"segment": table["segment"][:1], "n_docs": pa.array([len(table)], pa.int64()), "n_tokens": pa.array([pc.sum(table["n_tokens"]).as_py()], pa.int64()), "root": pa.array([merkle_root(table["root"].to_pylist())], pa.binary())})
+
+    return segments.select("segment", "nth", "n_tokens", "root").groupBy("segment").applyInArrow(seal, "segment long, n_docs long, n_tokens long, root binary")
+
+
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, width: int = 2) -> str:
     """Encodes every whole text, appends end_id and writes a store to path.
 
-    A null or empty text has only the end id. Rows that repeat a doc_id are stored as rows of their
-    own, next to each other. An empty table gives a store without rows. Extra columns are not read.
+    A null or empty text has only the end id. Rows that repeat a doc_id are stored as rows of their own, next to each
+    other, in the order of their texts' hashes; rows without doc_id come first. An empty table gives a store without rows. Extra
+    columns are not read.
     """
     spark = docs.sparkSession
     staged, _ = materialize(_staged(docs, tokenizer, end_id, width), "staged")
     split = F.expr("transform(sequence(0, cast(length(digests) / 16 as int) - 1), k -> named_struct('k', cast(k as long), 'digest', substring(digests, k * 16 + 1, 16)))")
-    chunks = staged.select("doc_id", F.explode(split).alias("c")).select("doc_id", "c.k", "c.digest")
-    shared = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k")).alias("owner")).filter("n > 1")
-    code = F.when((F.col("owner.doc_id") == F.col("doc_id")) & (F.col("owner.k") == F.col("k")), 2).otherwise(0)
-    refs = chunks.join(shared, "digest").select("doc_id", F.expr("k * 4").alias("k4"), code.alias("code")).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.expr("k4 + code").cast("long"))).alias("refs"))
-    refs = refs.select("doc_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("digests"), F.lit(None).cast("binary").alias("lengths"), "refs", F.lit(None).cast("binary").alias("payload"))
-    ordered = refs.unionByName(staged).repartitionByRange(shuffles(spark), "doc_id").sortWithinPartitions("doc_id", "kind")
+    chunks = staged.select("row", F.explode(split).alias("c")).select("row", "c.k", "c.digest")
+    shared = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "k")).alias("owner")).filter("n > 1")
+    code = F.when((F.col("owner.row") == F.col("row")) & (F.col("owner.k") == F.col("k")), 2).otherwise(0)
+    refs = chunks.join(shared, "digest").select("row", F.expr("k * 4").alias("k4"), code.alias("code")).groupBy("row").agg(F.array_distinct(F.collect_list(F.expr("k4 + code").cast("long"))).alias("refs"))
+    refs = refs.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("digests"), F.lit(None).cast("binary").alias("lengths"), "refs", F.lit(None).cast("binary").alias("payload"))
+    ordered = refs.unionByName(staged).repartitionByRange(shuffles(spark), "row").sortWithinPartitions("row", "kind")
     ordered.mapInArrow(_segmented(width), _SEGMENTS).write.parquet(f"{path}/segments")
 
-    def seal(table: pa.Table) -> pa.Table:
-        table = table.sort_by("nth")
-        return pa.table({"segment": table["segment"][:1], "n_docs": pa.array([len(table)], pa.int64()), "n_tokens": pa.array([pc.sum(table["n_tokens"]).as_py()], pa.int64()), "root": pa.array([merkle_root(table["root"].to_pylist())], pa.binary())})
-
-    segments = spark.read.parquet(f"{path}/segments")
-    segments.select("segment", "nth", "n_tokens", "root").groupBy("segment").applyInArrow(seal, "segment long, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/manifest")
+    _sealed(spark.read.parquet(f"{path}/segments")).write.parquet(f"{path}/manifest")
     return path
 
 
@@ -198,14 +205,19 @@ def _checked(width: int, bases: dict[int, int], with_ids: bool):
 def read_store(spark: SparkSession, path: str, width: int = 2, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if wanted, ids (little-endian unsigned 32-bit) of each document, rebuilt from the files.
 
-    The driver gets one row for each segment, to place the segments one after another. Rows whose
+    The driver gets one row for each segment, to place the segments one after another and to compare the manifest with the roots of the rows
+    that are there; each row's root is then checked against its chunks. Rows whose
     chunks all lie in themselves are rebuilt where they are read; only chunks that several recipes
     share are shuffled, by digest and then by row. A damaged store raises an error.
     """
-    bases, total = {}, 0
-    for r in sorted(spark.read.parquet(f"{path}/manifest").select("segment", "n_tokens").collect()):
-        bases[r[0]], total = total, total + r[1]
     segments = spark.read.parquet(f"{path}/segments")
+    manifest = {r["segment"]: r for r in spark.read.parquet(f"{path}/manifest").collect()}
+    found = {r["segment"]: r for r in _sealed(segments).collect()}
+    if manifest != found:
+        raise ValueError(f"segments {sorted(k for k in {*manifest, *found} if manifest.get(k) != found.get(k))} do not match the manifest")
+    bases, total = {}, 0
+    for k in sorted(manifest):
+        bases[k], total = total, total + manifest[k]["n_tokens"]
     result = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     alone = segments.filter("n_foreign = 0").select("segment", "doc_id", "n_tokens", "before", "digests", "lengths", "owners", "payload", "root")
 
