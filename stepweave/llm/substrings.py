@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import TABLE, forget, id_text, materialize, mix, powers, prefix_hash, ranges, shuffles, slice_hash, text_bytes, trim
+from stepweave.llm.common import TABLE, forget, id_text, materialize, mix, powers, prefix_hash, ranges, shuffles, slice_hash, small_batches, text_bytes, trim
+from stepweave.llm.rows import numbered
 
 LENGTH = 100  # bytes of a string that may not occur twice
 GRAM = 20  # bytes of an anchor; each string has LENGTH - GRAM + 1 grams to choose from
@@ -222,8 +223,8 @@ def _context_rows(batches):
 def _settled_contexts(length: int):
     """Intervals of strings that occur in an earlier context of the same anchor.
 
-    A string that equals the one at the same place in the anchor's first context is settled by its bytes' hash and then its
-    bytes. Of the others, those whose hash occurs again go to the suffix array, which decides.
+    A string that equals the one at the same place in the anchor's first context is settled by its hash and then, in runs of
+    such strings, by its bytes. Of the others, those whose hash occurs again go to the suffix array, which decides.
     """
 
     def rows(batches):
@@ -262,6 +263,7 @@ def _settled_contexts(length: int):
         mate = head[leader[own]] + np.where(inside, twin, 0)
         mate = np.minimum(mate, max(len(hashes) - 1, 0))
         equal = inside & (hashes[mate] == hashes)
+        equal = _same_bytes(raw, spot, spot[mate], own, equal, length)
         gone = [(doc[own[equal]], start[own[equal]] + spot[equal] - at[own[equal]])]
         rest = np.flatnonzero(~equal & (own != leader[own]))
         if len(rest):
@@ -279,6 +281,22 @@ def _settled_contexts(length: int):
     return rows
 
 
+def _same_bytes(raw: np.ndarray, spot: np.ndarray, mate: np.ndarray, own: np.ndarray, equal: np.ndarray, length: int) -> np.ndarray:
+    """`equal` without strings whose bytes differ from their mates'; runs of strings next to each other are compared as one."""
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return equal
+    new = np.concatenate([[True], (np.diff(spot[at]) != 1) | (np.diff(mate[at]) != 1) | (own[at[1:]] != own[at[:-1]])])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    for f, e, s, m in zip(first.tolist(), last.tolist(), spot[at[first]].tolist(), mate[at[first]].tolist()):
+        n = e - f + length
+        if raw[s : s + n].tobytes() != raw[m : m + n].tobytes():
+            for k in range(f, e + 1):
+                equal[at[k]] = raw[s + k - f : s + k - f + length].tobytes() == raw[m + k - f : m + k - f + length].tobytes()
+    return equal
+
+
 def _by_suffix_array(raw, akey, doc, start, at, own, spot, left, length):
     """Runs of strings in `left` become pieces; the suffix array of each anchor's pieces finds the repeated ones."""
     if not len(left):
@@ -302,14 +320,14 @@ def _by_suffix_array(raw, akey, doc, start, at, own, spot, left, length):
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, start, end: bytes covered by a string of `length` bytes that also starts earlier; intervals may overlap.
+    """doc_id, start, end: bytes covered by a string of `length` bytes that also starts earlier; intervals may overlap. Each doc_id is one row of docs.
 
     Three shuffles carry what has to meet: 36 bytes for every run of about forty strings, texts once to cut out the
     contexts of anchors that stand in different ones, and those contexts. A task settles what repeats within its own
     rows before it sends any, so that thousands of copies shrink to one row for each task.
     """
     spark = docs.sparkSession
-    texts, n = id_text(docs).filter("doc_id is not null"), shuffles(spark)
+    texts, n = id_text(docs), shuffles(spark)
     rows = texts.mapInArrow(_anchor_rows(length, gram), _ROWS)
     shared, _ = materialize(rows.repartition(n, "akey").mapInArrow(_grouped_rows(length), "doc_id long, start long, end long, anchor long, akey long"), "runs")
     _free(spark)
@@ -331,12 +349,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ext
     With mend, what is kept loses the bytes of characters that a cut has split.
 
     Order is by doc_id, then by place. Strings are judged on the input. A null or empty text, or one of fewer
-    than `length` bytes, is kept; so are rows without doc_id. Rows that repeat a doc_id count as one document: they
-    do not take each other's bytes. An empty table gives an empty result.
+    than `length` bytes, is kept. Rows that repeat a doc_id are documents of their own, in the order of their texts' hashes; so are rows
+    without doc_id, which come first. An empty table gives an empty result.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_extra_{i}") for i, c in enumerate(extra))]
-    found = repeats(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    both = docs.select(*columns).join(found, "doc_id", "left")
+    rows = numbered(docs.select(*columns))
+    small_batches(docs.sparkSession)
+    found = repeats(rows.select(F.col("row").alias("doc_id"), "text"), length, gram).groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    both = rows.join(found, "row", "left")
     carried = [f"_extra_{i}" for i in range(len(extra))]
     kinds = "".join(f", {c} {both.schema[c].dataType.simpleString()}" for c in carried)
 
