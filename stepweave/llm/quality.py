@@ -1,4 +1,4 @@
-"""Quality: a linear support vector machine over n-gram indicators scaled by naive Bayes log-count ratios."""
+"""Quality: a linear support vector machine over indicators of word and shape n-grams, scaled by naive Bayes log-count ratios."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from stepweave.llm.common import HashCache, mix, prefix_hash, slice_hash, words
 from stepweave.llm.learn import calibrate, fold, joined, labelled_sample, score_all
 
-BITS = 16
+BITS = 18  # of all buckets; n-grams of shapes have the first fourth, n-grams of words the rest
+SHAPES = 1 << (BITS - 2)
 
 _CLASS = np.arange(256, dtype=np.uint64) + np.uint64(16)  # each sign is a class of its own
 _CLASS[[*range(97, 123), *range(128, 192)]] = 1
@@ -36,7 +37,7 @@ def _shapes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Features:
-    """Indicators of each text's n-grams, n from 1 to 3, over its words' shapes; a word that repeats the one before it is marked."""
+    """Indicators of each text's n-grams: of its words in lower case, n 1 and 2, and of its words' shapes, n from 1 to 3; there a word that repeats the one before it is marked."""
 
     def __init__(self):
         self.cache = None
@@ -60,7 +61,11 @@ class Features:
             if n > 1:
                 ok = ok & np.concatenate([np.zeros(n - 1, bool), text[n - 1 :] == text[: len(text) - n + 1]])[: len(text)]
                 current = mix(current * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([np.zeros(n - 1, np.uint64), gram])[: len(gram)])
-            found.append((text[ok] << BITS) | (current[ok] >> np.uint64(64 - BITS)).astype(np.int64))
+            found.append((text[ok] << BITS) | (current[ok] % np.uint64(SHAPES)).astype(np.int64))
+        plain = words(raw, at)[0]
+        pairs = mix(plain[:-1] * np.uint64(0x9E3779B97F4A7C15) + plain[1:])[text[1:] == text[:-1]]
+        for own, gram in ((text, plain), (text[1:][text[1:] == text[:-1]], pairs)):
+            found.append((own << BITS) | (SHAPES + (gram % np.uint64((1 << BITS) - SHAPES)).astype(np.int64)))
         both = np.concatenate(found)
         both.sort()
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
