@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import id_text, small_batches, text_blocks
@@ -18,17 +18,20 @@ def fold(modulus: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, per_class: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: F.Column, per_class: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most per_class rows of each class among the labels in `allowed`, in a fixed pseudo-random order.
 
-    Only as many ids as the bound allows are broadcast. Labels other than 0 and 1, and labels of no
-    document, are left out; a doc_id that repeats counts once.
+    Twice as many ids are drawn and broadcast, so that texts longer than most_bytes leave enough others. Labels other than 0 and 1, and
+    labels of no document, are left out; of rows that repeat a doc_id one counts, that of the least text.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & allowed)
     order = F.xxhash64("doc_id")
-    taken = known.filter("y = 0").orderBy(order, "doc_id").limit(per_class).unionByName(known.filter("y = 1").orderBy(order, "doc_id").limit(per_class))
-    rows = id_text(docs).join(F.broadcast(taken), "doc_id").filter(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text", "y").collect()
-    rows = sorted({r[0]: r for r in sorted(rows)}.values(), key=lambda r: (r[0] * 2654435761) % (1 << 32))
+    drawn = [known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(2 * per_class) for y in (0, 1)]
+    short = id_text(docs).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").filter(F.octet_length("text") <= most_bytes)
+    once = short.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of a bounded number of ids
+    place = F.row_number().over(Window.partitionBy("y").orderBy(order, "doc_id"))
+    rows = once.withColumn("place", place).filter(F.col("place") <= per_class).select("doc_id", "text", "y").collect()
+    rows.sort(key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[2]))
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
 
 
@@ -49,18 +52,22 @@ def score_all(docs: DataFrame, margins, curve: tuple[float, float], held_out: F.
     a, b = curve
     small_batches(docs.sparkSession)
     carry = carry or []
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"), *(F.col(c) for c in carry)]
+    inner = [f"carried_{i}" for i in range(len(carry))]  # a carried column may have the name of a result
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(i) for c, i in zip(carry, inner))]
     wide = docs.select(*columns)
-    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields[3:])
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in wide.schema.fields[3:])
 
     def score(batches):
         for batch in batches:
             p = np.zeros(batch.num_rows)
             for i, j, raw, at in text_blocks(batch.column(2)):
                 p[i:j] = 1 / (1 + np.exp(-np.clip(a * margins(raw, at) + b, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(batch.column(c) for c in carry)], names=["doc_id", "held_out", "score", "predicted", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(batch.column(c) for c in inner)], names=["doc_id", "held_out", "score", "predicted", *inner])
 
-    return wide.mapInArrow(score, f"doc_id long, held_out boolean, score double, predicted int{kinds}")
+    out = wide.mapInArrow(score, f"doc_id long, held_out boolean, score double, predicted int{kinds}")
+    for c, i in zip(carry, inner):  # a result gives way to the carried column of its name
+        out = out.drop(c).withColumnRenamed(i, c)
+    return out
 
 
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -48,10 +48,10 @@ def _spread(rows: np.ndarray, columns: np.ndarray, n_columns: int):
     return apply
 
 
-def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate: float = 0.15, least: float = 0.02, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, tuple[float, float]]:
+def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate: float = 0.15, least: int = 1, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, tuple[float, float]]:
     """One number for each bucket (its embedding times the difference of the softmax's rows) and the calibration.
 
-    Buckets seen in fewer than `least` of the texts (and fewer than 3) are left out. Spans of SPAN words bear their document's label. Again and again, spans of toxic documents that
+    Buckets seen in fewer than `least` texts are left out: with 1, every subword that was seen shares its vector with misspellings that hold it. Spans of SPAN words bear their document's label. Again and again, spans of toxic documents that
     look clean are left out, but for the worst of each document. A fourth of the sample serves calibration alone.
     """
     fit = np.arange(len(texts)) % 4 != 3
@@ -63,7 +63,7 @@ def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate:
     bucket, per = subwords(raw, start[sample], end[sample])
     in_docs = np.unique(np.stack([np.repeat(np.arange(len(first) - 1), np.diff(first)), word]), axis=1)[1]
     seen = np.bincount(bucket, weights=np.repeat(np.bincount(in_docs, minlength=len(per)), per), minlength=1 << BITS)
-    used = np.flatnonzero(seen >= max(3, least * len(texts)))
+    used = np.flatnonzero(seen >= max(1, least))
     number = np.full(1 << BITS, len(used))
     number[used] = np.arange(len(used))
     bucket = number[bucket].astype(np.int32)  # rarer ones share a last row, which stays 0
