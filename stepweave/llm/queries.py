@@ -56,4 +56,36 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_decontamination, op2_packing, op3_embedding_dedup, op4_chunk_store, op5_jaccard_join, op6_token_counts, op7_suffix_dedup, op8_quality, op9_toxicity, op10_licenses)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+_COMPONENTS = """pairs_ as (select x as a, y as b from links union select y, x from links),
+  reach as (select a, b from pairs_ union select r.a, l.b from reach r join pairs_ l on l.a = r.b),
+  least as (select a, min(b) as low from reach group by 1)"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# DuckDB's answer by comparison of all pairs, all shingles and all strings: right at any size, in reasonable time on small tables.
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_dedup": f"""with recursive v as (select vec_id, [x::double for x in embedding] as e from embeddings),
+  ok as (select * from v where e is not null and len(e) > 0 and list_count(e) = len(e) and len([x for x in e if not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
+  links as (select a.vec_id as x, b.vec_id as y from ok a join ok b on a.vec_id < b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+  {_COMPONENTS}
+select v.vec_id, (select count(*) from pairs_ where a = v.vec_id)::bigint as n_links, coalesce(least(low, v.vec_id), v.vec_id) as component_id, coalesce(least(low, v.vec_id), v.vec_id) = v.vec_id as kept from v left join least on a = v.vec_id""",
+    "op5_jaccard_join": f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+  s as (select distinct doc_id, unnest(case when len(w) >= 4 then [array_to_string(w[i : i + 3], ' ') for i in range(1, len(w) - 2)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+  n as (select doc_id, count(*) as n from s group by 1),
+  p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+  links as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 85 * (a.n + b.n - k)),
+  {_COMPONENTS}
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(least(low, w.doc_id), w.doc_id) as component_id from w left join n using (doc_id) left join least on a = w.doc_id""",
+    "op7_suffix_dedup": """with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
+  c as (select doc_id, len(h) // 2 - 99 as n, h, unnest(range(0, len(h) // 2 - 99, 100)) as b from d where len(h) >= 200),
+  p as (select doc_id, b, substring(h, 2 * b + 1, 400) as h, unnest(range(0, least(100, n - b))) as j from c),
+  x as (select doc_id, b + j as i, substring(h, 2 * j + 1, 200) as x from p),
+  m as (select x, min(doc_id * 1000000000 + i) as first from x group by 1 having count(*) > 1),
+  q as (select doc_id, i, doc_id * 1000000000 + i > first as again from x join m using (x)),
+  g as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 100, true) as new from q where again),
+  k as (select doc_id, i, sum(new::int) over (partition by doc_id order by i) as span from g),
+  r as (select doc_id, span, min(i) as s, max(i) + 100 as e from k group by 1, 2),
+  f as (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as before from r),
+  t as (select f.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' order by s) as head, max(e) as last, sum(e - s) as removed, count(*) as spans from f join d using (doc_id) group by 1)
+select d.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(case when t.doc_id is null then h else concat(head, substring(h, 2 * last + 1)) end)) as kept_sha256 from d left join t using (doc_id)""",
+}
