@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stepweave.llm.common import CACHES, TABLE, HashCache, id_text, prefix_hash, ranges, slice_hash, text_blocks
+from stepweave.llm.common import CACHES, TABLE, HashCache, id_text, mix, prefix_hash, ranges, slice_hash, text_blocks
 
 _GRAPH = np.zeros(256, bool)
 _GRAPH[0x21:0x7F] = True
@@ -51,6 +51,9 @@ def sign_fronts(raw: np.ndarray) -> np.ndarray:
     return spot[_LETTER[raw[spot - 1]]]
 
 
+CACHED = 256  # bytes of a unit that may be found by its hash; polynomial hashes of longer ones can be made to agree
+
+
 class IdEncoder:
     """Token ids of whole texts by a tokenizers .json file; the same ids as encode(text, add_special_tokens=False).
 
@@ -71,6 +74,7 @@ class IdEncoder:
         self._reset()
 
     def _reset(self) -> None:
+        self.serial = 1
         self.cache, self.pool, self.used = HashCache(20 if self.lossless else 21, np.int64, np.int32), np.zeros(1 << 20, np.uint32), 0
 
     def _put(self, ids: np.ndarray) -> int:
@@ -124,6 +128,9 @@ class IdEncoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(raw))
         keys = slice_hash(prefix_hash(TABLE[raw]), start, end)
+        long_ = np.flatnonzero(end - start > CACHED)
+        keys[long_] = mix(np.arange(self.serial, self.serial + len(long_), dtype=np.uint64))  # numbers of their own: never found again
+        self.serial += len(long_)
         offset, count = self.cache.look_up(keys, lambda k: self._encode(raw, start[k], end[k]))
         ids = self.pool[ranges(offset, count.astype(np.int64))]
         total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
