@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 def _settled(df: DataFrame) -> DataFrame:
     """A checkpoint, from which later rounds restart: in spark.checkpoint.dir, or, if that is unset and Spark runs in one process, in a temporary folder."""
     context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None and (folder := df.sparkSession.conf.get("spark.checkpoint.dir", "")):
+        context.setCheckpointDir(folder)
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")

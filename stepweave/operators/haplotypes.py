@@ -371,16 +371,17 @@ def pair_alignment(scores: DataFrame, pairs: DataFrame) -> DataFrame:
     return mean.join(well, ["hap1", "hap2"], "left").select("hap1", "hap2", "aln_score", (F.coalesce("w", F.lit(0)) / F.lit(max(n, 1) / 10)).alias("aln_long_prop"))
 
 
-def evaluate_pairs(steps: DataFrame, hap_steps: DataFrame, scores: DataFrame, small: int = 5) -> DataFrame:
-    """The nine columns of a stats table, best first: metrics of coverage, likelihood and alignment of all pairs of haplotypes, and their rank.
+def evaluate_pairs(steps: DataFrame, hap_steps: DataFrame, scores: DataFrame, small: int = 5, pairs: DataFrame | None = None) -> DataFrame:
+    """The nine columns of a stats table, best first: metrics of coverage, likelihood and alignment of pairs of haplotypes, and their rank.
 
-    steps: node, size; hap_steps: hap, node, size. Correlation and deviation take nodes of a size under `small`. rank adds the means of the
+    steps: node, size; hap_steps: hap, node, size; pairs: hap1 <= hap2, all of them if there is none. Correlation and deviation take nodes of a size under `small`. rank adds the means of the
     adjusted coverage metrics and of the adjusted alignment metrics.
     """
     cover = lambda t, *by: t.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n"))
     reads, haps, few = cover(steps), cover(hap_steps, "hap"), F.col("size") < small
     m = pair_metrics(reads, haps).select("hap1", "hap2", "cov_cosine").join(pair_likelihood(reads, haps), ["hap1", "hap2"])
     m = m.join(pair_metrics(cover(steps.filter(few)), cover(hap_steps.filter(few), "hap")).select("hap1", "hap2", "cov_cor", "cov_dev"), ["hap1", "hap2"], "left")
+    m = m if pairs is None else m.join(pairs.select("hap1", "hap2").distinct(), ["hap1", "hap2"], "left_semi")
     m = m.join(pair_alignment(scores, m.select("hap1", "hap2")), ["hap1", "hap2"])
     ranked = composite_rank(m, ["cov_cor", "aln_score", "aln_long_prop"], ["cov_dev"]).withColumn("rank", 2 * F.col("rank"))
     return ranked.select("hap1", "hap2", "cov_cor", "cov_dev", "cov_cosine", "hap_ll", "aln_score", "rank", "aln_long_prop").orderBy("rank", "hap1", "hap2")

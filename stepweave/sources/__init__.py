@@ -28,9 +28,10 @@ def gfa_nodes(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).filter("f[0] = 'S'").select(F.expr("f[1]").alias("node"), F.expr("f[2]").alias("seq"), F.expr("length(f[2])").alias("size"))
 
 
-def gfa_edges(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst, same_sense of distinct links; ord is the first line of each."""
+def gfa_edges(spark: SparkSession, path: str, nodes: DataFrame | None = None) -> DataFrame:
+    """src, dst, same_sense of distinct links, of those from `nodes` if there are any; ord is the first line of each."""
     rows = lines(spark, path).filter("f[0] = 'L'").select("ord", F.expr("f[1]").alias("src"), F.expr("f[3]").alias("dst"), F.expr("f[2] = f[4]").alias("same_sense"))
+    rows = rows if nodes is None else rows.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
     return rows.groupBy("src", "dst").agg(F.min_by("same_sense", "ord").alias("same_sense"), F.min("ord").alias("ord"))
 
 
@@ -50,15 +51,16 @@ def paths_as_reads(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return paths.join(nodes.select("node", "size"), "node").select("path_id", "pos", "node", F.lit(0).alias("start_pos"), F.col("size").alias("end_pos"), F.coalesce(F.sum("size").over(w), F.lit(0)).alias("read_pos"))
 
 
-def gaf_records(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
+def gaf_records(spark: SparkSession, path: str, least: int = 0, least_span: int = 0) -> DataFrame:
     """Usable records, the first one of each read: name, start, path, path_start, ops.
 
-    A record is usable if its span is at least `least` long and it has a cg or cs tag; others do not hide later ones.
+    A record is usable if the read is at least `least` long, its aligned span at least `least_span`, and it has a cg or cs tag; others do not
+    hide later ones.
     """
     rows = lines(spark, path).filter("size(f) >= 12")
     rest = F.slice(F.col("f"), 13, F.greatest(F.size("f") - 12, F.lit(1)))
     rows = rows.select("ord", F.expr("f[0]").alias("name"), F.expr("cast(f[1] as int)").alias("length"), F.expr("cast(f[2] as int)").alias("start"), F.expr("cast(f[3] as int)").alias("stop"), F.expr("f[5]").alias("path"), F.expr("cast(f[7] as int)").alias("path_start"), F.expr("cast(f[9] as int)").alias("matches"), F.expr("cast(f[10] as int)").alias("block"), tag(rest, "cg").alias("cg"), tag(rest, "cs").alias("cs"), tag(rest, "dv").alias("dv"), tag(rest, "id").alias("id"))
-    usable = rows.filter((F.col("length") >= least) & (F.col("cg").isNotNull() | F.col("cs").isNotNull()))
+    usable = rows.filter((F.col("length") >= least) & (F.col("stop") - F.col("start") >= least_span) & (F.col("cg").isNotNull() | F.col("cs").isNotNull()))
     first = usable.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("ord"))).filter("k = 1")
     return first.withColumn("ops", F.when(F.col("cg").isNotNull(), parse_cigar(F.col("cg"))).otherwise(parse_difference(F.col("cs")))).drop("k", "ord")
 
@@ -147,5 +149,7 @@ def calls(spark: SparkSession, path: str) -> DataFrame:
     clean = raw.select(*(F.when(F.col(c).isin("NA", "None", ""), None).otherwise(F.col(c)).alias(c) for c in raw.columns))
     sets = [c for c in ("reads_alt", "reads_ref", "haps_alt", "haps_ref") if c in raw.columns]
     others = [c for c in raw.columns if c not in sets and c != "variant"]
+    clean = clean.withColumn("ord", F.monotonically_increasing_id())
     merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.split(c, ","), F.array().cast("array<string>")))))).alias(c) for c in sets]
-    return clean.groupBy("variant").agg(*(F.first(c, ignorenulls=True).alias(c) for c in others), *merged)
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in others]  # the first row's that has one
+    return clean.groupBy("variant").agg(*first, *merged)

@@ -13,16 +13,19 @@ def tsv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
 
 
 def bed_rows(calls: DataFrame, chrom: str) -> DataFrame:
-    """chrom, start, end, name, score; annotated calls score 1000."""
-    name = F.when(F.col("clinsig").isNotNull(), F.concat_ws("_", "node", "clinsig")).when(F.col("variant").startswith("fus_"), F.concat(F.col("node"), F.lit("_fusion_"), F.col("pos"), F.lit("-"), F.col("end"))).otherwise(F.concat(F.col("node"), F.lit("_"), F.col("ref_seq"), F.lit("-"), F.col("alt_seq")))
-    return calls.select(F.lit(chrom).alias("chrom"), (F.col("pos") - 1).alias("start"), (F.coalesce(F.col("end"), F.col("pos") + F.length("ref_seq")) - 1).alias("end"), name.alias("name"), F.when(F.col("clinsig").isNotNull(), 1000).otherwise(0).alias("score"))
+    """chrom, start, end, name, score: annotated calls score 1000; fusions, known by their pos_error, are named by their span, others by their alleles.
 
-
-def vcf_lines(calls: DataFrame, chrom: str) -> DataFrame:
-    """VCF body lines in one column; a fusion is a deletion with END and SVLEN."""
-    fusion = F.col("variant").startswith("fus_")
-    info = F.concat_ws(";", F.when(fusion, F.concat(F.lit("SVTYPE=DEL;END="), F.col("end"), F.lit(";SVLEN="), F.col("end") - F.col("pos") + 1)), F.concat(F.lit("RREF="), F.size("reads_ref")), F.concat(F.lit("RALT="), F.size("reads_alt")), F.when(F.col("clinsig").isNotNull(), F.concat(F.lit("CLIN="), F.col("clinsig"))))
-    return calls.select(F.concat_ws("\t", F.lit(chrom), F.col("pos") + F.when(fusion, 1).otherwise(0), "variant", F.when(fusion, "N").otherwise(F.coalesce("ref_seq", F.lit("N"))), F.when(fusion, "<DEL>").otherwise(F.coalesce("alt_seq", F.lit("N"))), F.lit("30"), F.lit("PASS"), info, F.lit("GT"), F.lit("0/1")).alias("value"))
+    The name begins with the allele's first node (alt), or with node where there is no allele.
+    """
+    node = F.element_at("alt", 1) if "alt" in calls.columns else F.col("node")
+    fusion = F.col("pos_error").isNotNull() if "pos_error" in calls.columns else F.col("variant").startswith("fus_")
+    end = F.coalesce(F.col("end") if "end" in calls.columns else F.lit(None), F.col("pos") + F.length("ref_seq")) - 1
+    start = F.col("pos") - 1
+    clin = F.col("clinsig") if "clinsig" in calls.columns else F.lit(None).cast("string")
+    alt_seq = F.coalesce("alt_seq", F.lit("")) if "alt_seq" in calls.columns else F.lit("")
+    span, change = F.concat_ws("-", start, end), F.concat(F.coalesce("ref_seq", F.lit("")), F.lit("-"), alt_seq)
+    name = F.when(clin.isNotNull(), F.concat_ws("_", node, clin)).when(fusion, F.concat_ws("_fusion_", node, span)).otherwise(F.concat_ws("_", node, change))
+    return calls.select(F.lit(chrom).alias("chrom"), start.alias("start"), end.alias("end"), name.alias("name"), F.when(clin.isNotNull(), 1000).otherwise(0).alias("score"))
 
 
 def fasta_lines(seqs: DataFrame) -> DataFrame:
@@ -38,3 +41,53 @@ def fastq_lines(reads: DataFrame, parts: DataFrame) -> DataFrame:
 
 def text(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)
+
+
+NODE_COLUMNS = ["node", "size", "seq", "ref", "c1", "c2", "rpos_min", "rpos_max", "rnode", "class"]
+STAT_COLUMNS = ["hap1", "hap2", "cov_cor", "cov_dev", "cov_cosine", "hap_ll", "aln_score", "rank", "aln_long_prop"]
+
+
+def node_rows(nodes: DataFrame) -> DataFrame:
+    """The ten columns of a node table in their order."""
+    return nodes.select(*NODE_COLUMNS)
+
+
+def stat_rows(stats: DataFrame) -> DataFrame:
+    return stats.orderBy("rank", "hap1", "hap2").select(*STAT_COLUMNS)
+
+
+def path_rows(haps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """hap, node, ppos (from 0), class, rpos_min, rpos_max of haplotypes (hap, path)."""
+    steps = haps.select("hap", F.posexplode("path").alias("ppos", "node"))
+    return steps.join(nodes.select("node", "class", "rpos_min", "rpos_max"), "node").orderBy("hap", "ppos").select("hap", "node", "ppos", "class", "rpos_min", "rpos_max")
+
+
+def similarity_rows(weights: DataFrame) -> DataFrame:
+    """sread1, sread2, sim of directed weights a -> b."""
+    return weights.filter("a <> b and weight is not null").orderBy("a", "b").select(F.col("a").alias("sread1"), F.col("b").alias("sread2"), F.col("weight").alias("sim"))
+
+
+def viz_read_rows(steps: DataFrame, nodes: DataFrame, every: bool = False) -> DataFrame:
+    """read, node, startpos, endpos, readpos of reads that touch a node of another class than none; of all reads if `every`."""
+    rows = steps
+    if not every:
+        touched = steps.join(nodes.filter("class <> 'none'").select("node"), "node", "left_semi").select("path_id").distinct()
+        rows = steps.join(touched, "path_id", "left_semi")
+    return rows.orderBy("path_id", "pos").select(F.col("path_id").alias("read"), "node", F.col("start_pos").alias("startpos"), F.col("end_pos").alias("endpos"), F.col("read_pos").alias("readpos"))
+
+
+def stats_rows(records: DataFrame) -> DataFrame:
+    """One row: median percentages of aligned and of matched bases over reads (read, length, aligned, matches), rounded to two places."""
+    share = lambda c: F.round(100 * F.percentile(F.col(c) / F.col("length"), F.lit(0.5)), 2)
+    return records.agg(share("aligned").alias("aligned"), share("matches").alias("matched"), F.count(F.lit(1)).alias("n"))
+
+
+def write_calls(calls: DataFrame, folder: str, chrom: str, genome) -> None:
+    """Three tables of calls by pos: folder/tsv, folder/bed and folder/vcf (header lines in folder/vcf_header)."""
+    from stepweave.operators.variants import call_rows, vcf_body, vcf_header
+
+    tsv(call_rows(calls), f"{folder}/tsv")
+    bed_rows(calls, chrom).orderBy("start", "name").write.mode("overwrite").csv(f"{folder}/bed", sep="\t")
+    text(vcf_body(calls, chrom, genome), f"{folder}/vcf")
+    length = calls.sparkSession.range(1).select(F.length(genome).alias("n")).first()[0]
+    text(calls.sparkSession.createDataFrame([(line,) for line in vcf_header(chrom, length)], "value string").coalesce(1), f"{folder}/vcf_header")
