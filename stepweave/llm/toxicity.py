@@ -33,6 +33,21 @@ def subwords(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return out, total
 
 
+def _all_words(raw: np.ndarray, at: np.ndarray, most: int = 1 << 19) -> tuple[np.ndarray, ...]:
+    """words() of many texts, worked out for about `most` bytes at a time: hashes take much more room than texts."""
+    parts, count, i = [], 0, 0
+    first = [np.zeros(1, np.int64)]
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        hashes, start, end, own = words(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+        parts.append((hashes, start + at[i], end + at[i]))
+        first.append(own[1:] + count)
+        count += len(hashes)
+        i = j
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return *(np.concatenate(x) for x in zip(none, *parts)), np.concatenate(first)
+
+
 def _spread(rows: np.ndarray, columns: np.ndarray, n_columns: int):
     """Sums by column of values given by row, for a fixed sparse pattern."""
     order = np.argsort(columns, kind="stable").astype(np.int32)
@@ -56,7 +71,7 @@ def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate:
     """
     fit = np.arange(len(texts)) % 4 != 3
     raw, at = joined([t for t, f in zip(texts, fit) if f])
-    hashes, start, end, first = words(raw, at)
+    hashes, start, end, first = _all_words(raw, at)
     if not len(hashes) or len(set(y[fit].tolist())) < 2:
         return np.zeros(1 << BITS, np.float32), (1.0, -5.0)
     _, sample, word = np.unique(hashes, return_index=True, return_inverse=True)
