@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.operators.graph import _settled
 from stepweave.operators.paths import by_path
 
 MOST = 1 << 20  # reference edges that a walk takes
@@ -38,7 +39,7 @@ def reference_coordinates(paths: DataFrame, nodes: DataFrame, ref) -> DataFrame:
     each = each.crossJoin(F.broadcast(edge))  # one row
     high = F.when(F.col("high").isNull() & (F.col("left").isNull() | (F.col("p") < F.col("left"))), F.col("low")).otherwise(F.col("high"))
     low = F.when(F.col("low").isNull() & (F.col("right").isNull() | (F.col("q") > F.col("right"))), F.col("high")).otherwise(F.col("low"))
-    known = nodes.select("node", "size").join(each.select("node", "ref", low.alias("low"), high.alias("high")), "node", "left")
+    known = _settled(nodes.select("node", "size").join(each.select("node", "ref", low.alias("low"), high.alias("high")), "node", "left"))
     steps = paths.select("path_id", "pos", "node").join(known, "node")
     up_to = by_path().rowsBetween(Window.unboundedPreceding, 0)
     at_low = F.coalesce(F.last(F.col("low") + F.col("size"), ignorenulls=True).over(up_to), F.lit(0))
@@ -88,15 +89,15 @@ def annotate_nodes(paths: DataFrame, nodes: DataFrame, ref, fold: int = 3, guess
     the module's ends, c1 or c2 where one count is more than fold times the other, ref where only the reference passes, else none.
     rnode is the last ref or none node at or before a node's first visit, on the reference first, then in the order of path_id.
     """
-    at = reference_coordinates(paths, nodes, ref)
-    ends = module_ends(at, reference_walk(paths, nodes, ref))
+    at = _settled(reference_coordinates(paths, nodes, ref))
+    ends = _settled(module_ends(at, reference_walk(paths, nodes, ref)))
     counts = module_counts_by_overlap(paths, ends, ref) if guess else module_counts_by_name(paths)
     rows = at.join(counts, "node", "left").fillna(0, ["c1", "c2"]).crossJoin(F.broadcast(ends))
     kind = (
         F.when(F.col("node") == F.col("cyc_l"), "cyc_l").when(F.col("node") == F.col("cyc_r"), "cyc_r").when(F.col("c1") > fold * F.col("c2"), "c1")
         .when(F.col("c2") > fold * F.col("c1"), "c2").when((F.col("ref") > 0) & (F.col("c1") == 0) & (F.col("c2") == 0), "ref").otherwise("none")
     )
-    rows = rows.withColumn("class", kind).drop("cyc_l", "cyc_r")
+    rows = _settled(rows.withColumn("class", kind).drop("cyc_l", "cyc_r"))
     steps = paths.select("path_id", "pos", "node").join(rows.select("node", "class"), "node")
     fill = F.last(F.when(F.col("class").isin("ref", "none"), F.col("node")), ignorenulls=True).over(by_path().rowsBetween(Window.unboundedPreceding, 0))
     filled = steps.withColumn("rnode", fill).filter("rnode is not null")

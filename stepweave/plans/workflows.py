@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.operators import calls, copynumber, fusions, haplotypes, locus, paths, variants
+from stepweave.operators.graph import _settled
 
 
 def subread_steps(steps: DataFrame, least: int = 0) -> DataFrame:
@@ -21,10 +22,10 @@ def subread_steps(steps: DataFrame, least: int = 0) -> DataFrame:
 
 def deconstruct(nodes: DataFrame, edges: DataFrame, notes: DataFrame | None = None, offset: int = 0) -> DataFrame:
     """Variants of the graph with their copy, traversals, sequences, known significance (notes) and offset positions."""
-    found = variants.described(variants.alleles(nodes, edges), nodes)
-    whole = variants.with_reference(found, variants.reference_traversals(found, nodes, edges), nodes)
+    found = _settled(variants.described(variants.alleles(nodes, edges), nodes))
+    whole = variants.with_reference(found, _settled(variants.reference_traversals(found, nodes, edges)), nodes)
     whole = variants.with_annotation(whole, notes, offset) if notes is not None else whole.withColumn("clinsig", F.lit(None).cast("string"))
-    return variants.offset_positions(whole, offset)
+    return _settled(variants.offset_positions(whole, offset))
 
 
 def call(steps: DataFrame, nodes: DataFrame, edges: DataFrame, notes: DataFrame | None = None, offset: int = 0, markers: int = 10, least: int = 3, hap_steps: DataFrame | None = None) -> DataFrame:
@@ -32,17 +33,17 @@ def call(steps: DataFrame, nodes: DataFrame, edges: DataFrame, notes: DataFrame
 
     hap_steps are assembled haplotypes, of which one is enough support.
     """
-    reads = subread_steps(steps)
+    reads = _settled(subread_steps(steps))
     known = deconstruct(nodes, edges, notes, offset)
     small = known.join(variants.support(reads, known, -(-markers // 2)), "variant")
-    found = fusions.candidates(reads, markers)
+    found = _settled(fusions.candidates(reads, markers))
     big = fusions.support(reads, found, markers)
     near = fusions.neighbours(reads, markers)
     lists = ("haps_alt", "haps_ref")
     if hap_steps is not None:
-        haps = subread_steps(hap_steps)
+        haps = _settled(subread_steps(hap_steps))
         small = small.join(variants.support(haps, known, -(-markers // 2), haplotypes=True), "variant")
-        found = found.unionByName(fusions.candidates(haps, markers).join(found, "variant", "left_anti"))
+        found = _settled(found.unionByName(fusions.candidates(haps, markers).join(found, "variant", "left_anti")))
         big = fusions.support(reads, found, markers).join(fusions.support(haps, found, markers, haplotypes=True).select("variant", *lists), "variant")
         near = near.unionByName(fusions.neighbours(haps, markers)).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     else:
@@ -50,7 +51,7 @@ def call(steps: DataFrame, nodes: DataFrame, edges: DataFrame, notes: DataFrame
         small, big = (t.withColumns({c: empty for c in lists}) for t in (small, big))
     big = fusions.choose(big, near, least)
     big = variants.offset_positions(variants.fusion_info(big, nodes), offset)
-    return variants.union_calls(calls.supported(small, least), big)
+    return _settled(variants.union_calls(calls.supported(small, least), big))
 
 
 def copy(steps: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -71,9 +72,9 @@ def diplotype(steps: DataFrame, nodes: DataFrame, edges: DataFrame, settings: li
     default = edges.groupBy("src").agg(F.max_by("dst", "ord").alias("dst"))
     found, pairs = {}, []
     for s in settings:
-        subs = subread_steps(steps, s["read_len"])
+        subs = _settled(subread_steps(steps, s["read_len"]))
         module = subs.filter(F.col("group") == "module").select(F.col("path_id").alias("id"), "pos", "node", "class")
-        seen = haplotypes.observations(module, s["read_support"])
+        seen = _settled(haplotypes.observations(module, s["read_support"]))
         of = haplotypes.cluster_by_em(seen, s["modules"]) if s["method"] == "em" else haplotypes.cluster_by_network(seen, s["modules"], s["marker_support"])
         of = spark.createDataFrame(of.collect(), of.schema)  # a row for each subread of a locus
         names = sorted(str(r["cluster"]) for r in of.select("cluster").distinct().collect())
@@ -96,7 +97,7 @@ def diplotype(steps: DataFrame, nodes: DataFrame, edges: DataFrame, settings: li
     heavy = {r["node"] for r in nodes.filter("class <> 'none'").select("node").collect()}
     scores = haplotypes.alignment_scores(steps, found, heavy)
     wanted = spark.createDataFrame([(p[0], p[-1]) for p in pairs], "hap1 string, hap2 string")
-    return haplotypes.evaluate_pairs(steps.select("node", "size"), sized, scores, pairs=wanted), haps
+    return _settled(haplotypes.evaluate_pairs(steps.select("node", "size"), sized, _settled(scores), pairs=wanted)), haps
 
 
 def surject(steps: DataFrame, nodes: DataFrame, edges: DataFrame, haps: dict[str, list]) -> DataFrame:
