@@ -63,11 +63,12 @@ def _spread(rows: np.ndarray, columns: np.ndarray, n_columns: int):
     return apply
 
 
-def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate: float = 0.15, least: int = 1, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, tuple[float, float]]:
+def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate: float = 0.15, prior: float = 0.02, decay: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, tuple[float, float]]:
     """One number for each bucket (its embedding times the difference of the softmax's rows) and the calibration.
 
-    Buckets seen in fewer than `least` texts are left out: with 1, every subword that was seen shares its vector with misspellings that hold it. Spans of SPAN words bear their document's label. Again and again, spans of toxic documents that
-    look clean are left out, but for the worst of each document. A fourth of the sample serves calibration alone.
+    Every subword that was seen shares its vector with misspellings that hold it, but counts by evidence: one of n texts by n / (n + prior x all texts),
+    as what was seen once or twice tells more of its text than of toxicity. Spans of SPAN words bear their document's label. Again and again,
+    spans of toxic documents that look clean are left out, but for the worst of each document. A fourth of the sample serves calibration alone.
     """
     fit = np.arange(len(texts)) % 4 != 3
     raw, at = joined([t for t, f in zip(texts, fit) if f])
@@ -78,10 +79,11 @@ def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate:
     bucket, per = subwords(raw, start[sample], end[sample])
     in_docs = np.unique(np.stack([np.repeat(np.arange(len(first) - 1), np.diff(first)), word]), axis=1)[1]
     seen = np.bincount(bucket, weights=np.repeat(np.bincount(in_docs, minlength=len(per)), per), minlength=1 << BITS)
-    used = np.flatnonzero(seen >= max(1, least))
+    used = np.flatnonzero(seen)
     number = np.full(1 << BITS, len(used))
     number[used] = np.arange(len(used))
-    bucket = number[bucket].astype(np.int32)  # rarer ones share a last row, which stays 0
+    bucket = number[bucket].astype(np.int32)
+    trust = (seen[used] / (seen[used] + prior * fit.sum()))[:, None].astype(np.float32)
     n_words = np.diff(first)
     spans = -(-n_words // SPAN)
     doc = np.repeat(np.arange(len(n_words)), spans)
@@ -95,17 +97,16 @@ def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate:
 
     sub_at, span_at = np.cumsum(per) - per, np.searchsorted(span, np.arange(len(doc)))
     to_word = _spread(span, word, len(per))
-    to_bucket = _spread(np.repeat(np.arange(len(per), dtype=np.int32), per), bucket, len(used) + 1)
+    to_bucket = _spread(np.repeat(np.arange(len(per), dtype=np.int32), per), bucket, len(used))
     rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.1, (len(used) + 1, dim)).astype(np.float32)
-    embedding[-1] = 0
+    embedding = rng.normal(0, 0.1, (len(used), dim)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (embedding, softmax, bias)]
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())).astype(np.float32)
     full = weight
     for t in range(1, rounds + 1):
-        by_word = np.add.reduceat(embedding[bucket], sub_at, axis=0) / per[:, None].astype(np.float32)
+        by_word = np.add.reduceat((trust * embedding)[bucket], sub_at, axis=0) / per[:, None].astype(np.float32)
         by_span = np.add.reduceat(by_word[word], span_at, axis=0) * np.float32(SPAN) / size[:, None].astype(np.float32)
         logits = by_span @ softmax + bias
         margin = logits[:, 1] - logits[:, 0]
@@ -119,13 +120,12 @@ def train(texts: list[str], y: np.ndarray, dim: int = 4, rounds: int = 64, rate:
         g = (weight * (p - label))[:, None] * np.array([[-1.0, 1.0]], np.float32)
         g_span = (g @ softmax.T) * np.float32(SPAN) / size[:, None].astype(np.float32)
         g_word = to_word(g_span) / per[:, None].astype(np.float32)
-        for p_, m, grad in zip((embedding, softmax, bias), moments, (to_bucket(g_word) + decay * embedding, by_span.T @ g, g.sum(axis=0))):
+        for p_, m, grad in zip((embedding, softmax, bias), moments, (trust * to_bucket(g_word) + decay * embedding, by_span.T @ g, g.sum(axis=0))):
             m[0] += 0.1 * (grad - m[0])
             m[1] += 0.01 * (grad * grad - m[1])
             p_ -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-10)
-        embedding[-1] = 0
     table = np.zeros(1 << BITS, np.float32)
-    table[used] = embedding[:-1] @ (softmax[:, 1] - softmax[:, 0])
+    table[used] = (trust * embedding) @ (softmax[:, 1] - softmax[:, 0])
     del to_bucket, to_word, by_word, by_span, bucket, moments
     trim()
     rest = Scorer(table)(*joined([t for t, f in zip(texts, fit) if not f]))
