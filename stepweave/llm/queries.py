@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import chunkstore, decontaminate, embeddings, jaccard, licenses, packing, quality, substrings, tokens, toxicity
+from stepweave.llm import chunkstore, decontaminate, embeddings, jaccard, licenses, packing, quality, substrings, tokens, toxicity, urls
 from stepweave.llm.common import read
 
 
@@ -53,7 +53,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontamination, op2_packing, op3_embedding_dedup, op4_chunk_store, op5_jaccard_join, op6_token_counts, op7_suffix_dedup, op8_quality, op9_toxicity, op10_licenses)
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+_ALL = (op1_decontamination, op2_packing, op3_embedding_dedup, op4_chunk_store, op5_jaccard_join, op6_token_counts, op7_suffix_dedup, op8_quality, op9_toxicity, op10_licenses, op11_url_filter)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _COMPONENTS = """pairs_ as (select x as a, y as b from links union select y, x from links),
@@ -88,4 +95,21 @@ select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(least(low, w.d
   f as (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as before from r),
   t as (select f.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' order by s) as head, max(e) as last, sum(e - s) as removed, count(*) as spans from f join d using (doc_id) group by 1)
 select d.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(case when t.doc_id is null then h else concat(head, substring(h, 2 * last + 1)) end)) as kept_sha256 from d left join t using (doc_id)""",
+    "op11_url_filter": f"""with recursive cut as (select page_id, coalesce(html, '') as html, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+  p as (select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+  rules(rule, verdict) as (values {", ".join(str(r) for r in URL_RULES)}),
+  judged as (select page_id, host, path, html, (select arg_max(rule, len(rule)) from rules where (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, instr(rule, '/')))) as rule from p),
+  pages_ as (select judged.*, verdict from judged left join rules using (rule)),
+  links as (select host as src, translate(unnest(regexp_extract_all(html, '{urls.LINK.replace("'", "''")}', 1)), '{_UPPER}', '{_LOWER}') as dst from p),
+  counted as (select src, dst, count(*)::bigint as w from links where src <> '' and src <> dst group by 1, 2),
+  hosts as (select host from p union select dst from counted),
+  up as (select host, substr(host, instr(host, '.') + 1) as domain from hosts where instr(host, '.') > 0 and instr(substr(host, instr(host, '.') + 1), '.') > 1 and not regexp_matches(host, '^[0-9.:]*$')),
+  edges as (select src, dst, sum(w)::bigint as w from (select * from counted union all select host, domain, 1 from up union all select domain, host, 1 from up) group by 1, 2),
+  ways as (select 'allow' as kind, src, dst, w from edges union all select 'block', dst, src, w from edges),
+  outs as (select kind, src, sum(w)::bigint as total from ways group by 1, 2),
+  walk as (select 0 as k, kind, host, mass from (select verdict_ as kind, host, {urls.UNIT}::bigint * count(*) filter (verdict = verdict_) // count(*) as mass from pages_, (values ('allow'), ('block')) as t(verdict_) where host <> '' group by 1, 2) where mass > 0
+    union all select k + 1, kind, host, mass from (select k, w.kind, e.dst as host, sum(mass // 100 * {urls.KEPT} // total * e.w)::bigint as mass from walk w join outs o on o.kind = w.kind and o.src = w.host join ways e on e.kind = w.kind and e.src = w.host where mass // 100 * {urls.KEPT} // total > 0 group by 1, 2, 3) where k < {urls.ROUNDS}),
+  scores as (select host, sum(mass) filter (kind = 'allow') as trust, sum(mass) filter (kind = 'block') as distrust from walk group by 1),
+  blocked as (select host from scores where distrust >= {urls.LEAST} and distrust > coalesce(trust, 0))
+select page_id, host, path, rule, coalesce(verdict, case when host in (select host from blocked) then 'block' else 'allow' end) as verdict from pages_""",
 }
