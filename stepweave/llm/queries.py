@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import chunkstore, decontaminate, embeddings, jaccard, licenses, packing, quality, substrings, tokens, toxicity, urls
+from stepweave.llm import chunkstore, decontaminate, embeddings, jaccard, licenses, packing, quality, substrings, tokens, toxicity, urls, whitening
 from stepweave.llm.common import read
 
 
@@ -60,7 +60,11 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
-_ALL = (op1_decontamination, op2_packing, op3_embedding_dedup, op4_chunk_store, op5_jaccard_join, op6_token_counts, op7_suffix_dedup, op8_quality, op9_toxicity, op10_licenses, op11_url_filter)
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_decontamination, op2_packing, op3_embedding_dedup, op4_chunk_store, op5_jaccard_join, op6_token_counts, op7_suffix_dedup, op8_quality, op9_toxicity, op10_licenses, op11_url_filter, op12_whitening)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _COMPONENTS = """pairs_ as (select x as a, y as b from links union select y, x from links),
