@@ -26,7 +26,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return event_steps(read(spark, sf_dir, "events"))
+
+
+def event_steps(e: DataFrame) -> DataFrame:
+    """Events of a user in order of time as the steps of a path."""
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     inner = F.when(F.col("event_id") % 7 == 0, "ref").otherwise("none")
     kind = F.when(F.col("event_type") == "signup", "cyc_l").when(F.col("event_type") == "error", "cyc_r").when(F.col("event_type") == "click", "c1").when(F.col("event_type") == "purchase", "c2").otherwise(inner)
