@@ -21,6 +21,11 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """df, to be broadcast if it is counted and found to have `most` rows at most; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bubbles(edges: DataFrame, inner: DataFrame, most: int | None = 4) -> DataFrame:
     """Walks that leave a node, pass one to `most` nodes of `inner` (node) once each, and end outside it: path (array), dst.
 
@@ -64,6 +69,24 @@ def reachable(edges: DataFrame, most: int | None = 3) -> DataFrame:
     return known
 
 
+def follow(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """at, hops: where walks from `starts` (at) come, when each place has one step on (at, to), and after how many steps first.
+
+    By doubling: each round joins the places reached with jumps of twice the length, so a walk of n steps takes log n
+    rounds. Walks end where there is no step, or where they come round to where they have been; walks that meet go on as one.
+    """
+    jump = _settled(steps.select("at", "to"))
+    reached, length = _settled(starts.select("at", F.lit(0).cast("long").alias("hops")).distinct()), 1
+    while True:
+        more = reached.join(jump, "at").select(F.col("to").alias("at"), (F.col("hops") + length).alias("hops"))
+        more = _settled(more.join(reached.select("at"), "at", "left_anti").groupBy("at").agg(F.min("hops").alias("hops")))
+        if more.isEmpty():
+            return reached
+        reached = _settled(reached.unionByName(more))
+        jump = _settled(jump.withColumnRenamed("to", "mid").join(jump.select(F.col("at").alias("mid"), "to"), "mid").select("at", "to"))
+        length *= 2
+
+
 def exclusive_pairs(edges: DataFrame, reach: DataFrame) -> DataFrame:
     """All pairs of edges that no walk passes both of: src1, dst1 < src2, dst2. reach: the whole closure, reachable(edges, None)."""
     e = _settled(edges.select("src", "dst").distinct())

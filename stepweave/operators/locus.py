@@ -1,7 +1,7 @@
 """A locus on its graph: reference coordinates, module ends, node classes, node groups, and the flanks' paths.
 
-paths: path_id, pos, node; nodes: node, size; edges: src, dst, ord. The reference is one of the paths. A locus has a few thousand
-reference nodes; the walks over them run on the driver and refuse a larger reference than MOST.
+paths: path_id, pos, node; nodes: node, size; edges: src, dst, ord. The reference is one of the paths. Walks over reference nodes are
+followed by doubling, in as many rounds as the length of the walk has binary digits, for many loci at once.
 """
 
 from __future__ import annotations
@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.operators.graph import _settled
+from stepweave.operators.graph import _settled, follow
 from stepweave.operators.paths import by_path
 
-MOST = 1 << 20  # reference edges that a walk takes
-
 
 def reference_walk(paths: DataFrame, nodes: DataFrame, ref) -> DataFrame:
     """The reference's steps: pos, node, size, refpos (sizes before), first (no earlier visit of it or of any node again)."""
@@ -105,62 +103,68 @@ def annotate_nodes(paths: DataFrame, nodes: DataFrame, ref, fold: int = 3, guess
     return rows.join(region, "node", "left").select("node", "size", "ref", "c1", "c2", "rpos_min", "rpos_max", "rnode", "class")
 
 
-def _reference_graph(nodes: DataFrame, edges: DataFrame) -> tuple[dict, dict, str | None, str | None, str | None]:
-    """Positions and successors (by ord) of reference nodes, the start node, cyc_l and cyc_r, on the driver."""
-    own = nodes.filter("ref > 0").select("node", "rpos_min", "class")
-    rows = own.limit(MOST + 1).collect()
-    linked = edges.join(own.select(F.col("node").alias("src")), "src", "left_semi").join(own.select(F.col("node").alias("dst")), "dst", "left_semi").limit(MOST + 1).collect()
-    if max(len(rows), len(linked)) > MOST:
-        raise ValueError(f"the reference has over {MOST} nodes or edges")
-    at, after = {r["node"]: r["rpos_min"] for r in rows}, {}
-    for e in sorted(linked, key=lambda e: e["ord"]):
-        after.setdefault(e["src"], []).append(e["dst"])
-    of = lambda kind: min((r["node"] for r in rows if r["class"] == kind), key=lambda n: (at[n], str(n)), default=None)
-    return at, after, of("ref"), of("cyc_l"), of("cyc_r")
-
-
-def _next(node, at: dict, after: dict, back, farthest: bool):
-    """The successor with the least (or greatest) position beyond the node's; `back` may lie before it. Ties go to the first edge."""
-    found = None
-    for n in after.get(node, ()):
-        if at[n] <= at[node] and n != back:
-            continue
-        if found is None or (at[n] > at[found] if farthest else at[n] < at[found]):
-            found = n
-    return found
-
-
-def node_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, group: flankl, module, buffer or flankr, along a walk over reference nodes that passes the module twice; a later visit counts."""
-    at, after, node, left, right = _reference_graph(nodes, edges)
-    groups, group, passed, seen = {}, "flankl", False, set()
-    while node is not None and (node, group, passed) not in seen:
-        seen.add((node, group, passed))
-        if node == left:
-            passed, group = passed or group == "buffer", "module"
-        elif node == right:
-            group = "flankr" if passed else "buffer"
-        groups[node] = group
-        node = _next(node, at, after, left if group == "buffer" else None, passed)
-    return nodes.sparkSession.createDataFrame(sorted(groups.items()), nodes.select("node", F.lit("").alias("group")).schema)
+def _reference_edges(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """Edges between reference nodes: src, dst, ord, their positions sp and dp, and dst's class."""
+    own = nodes.filter("ref > 0")
+    src = own.select(*by, F.col("node").alias("src"), F.col("rpos_min").alias("sp"))
+    dst = own.select(*by, F.col("node").alias("dst"), F.col("rpos_min").alias("dp"), F.col("class").alias("kind"))
+    return edges.select(*by, "src", "dst", "ord").join(src, [*by, "src"]).join(dst, [*by, "dst"])
 
 
-def flank_path(nodes: DataFrame, edges: DataFrame, group: str) -> list:
-    """Nodes of flankl, buffer or flankr along the reference, without the module's ends.
+def _first_flank_node(nodes: DataFrame, by: list[str]) -> DataFrame:
+    flank = nodes.filter("ref > 0 and class = 'ref'")
+    return flank.groupBy(*by).agg(F.min_by("node", F.struct("rpos_min", F.col("node").cast("string"))).alias("node")).filter("node is not null")
+
+
+GROUPS = "flankl", "module", "buffer", "flankr"
+
 
-    The left flank goes from the first flank node, the others from cyc_r; the right one takes the farthest reference node at each step,
-    the buffer the nearest or cyc_l, where it and the left flank end.
+def node_groups(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """node, group: flankl, module, buffer or flankr, along a walk over reference nodes that passes the module twice; a later visit counts.
+
+    The walk starts at the first flank node and goes on to the nearest reference node beyond it. From cyc_l on it is in the module, from cyc_r
+    on in the buffer, which may lead back to cyc_l; after that second lap cyc_r leads to the right flank, and the farthest node is taken.
+    For each value of the columns in `by` (locus) there is a walk of its own. Where a walk stands is node, group and lap, which tells
+    where it goes, so all steps are joined at once, and the walks are followed by doubling.
+    """
+    by = by or []
+    modes = F.array(*(F.struct(F.lit(g).alias("group"), F.lit(lap).alias("lap")) for g, lap in (("flankl", 1), ("module", 1), ("buffer", 1), ("module", 2), ("flankr", 2))))
+    ways = _reference_edges(nodes, edges, by).withColumn("mode", F.explode(modes)).select("*", "mode.*").drop("mode")
+    ways = ways.filter((F.col("dp") > F.col("sp")) | ((F.col("group") == "buffer") & (F.col("kind") == "cyc_l")))
+    near = F.when(F.col("lap") == 1, F.col("dp")).otherwise(-F.col("dp"))
+    step = ways.groupBy(*by, "src", "group", "lap").agg(F.min_by(F.struct("dst", "kind"), F.struct(near, "ord")).alias("to"))
+    lap = F.when((F.col("to.kind") == "cyc_l") & (F.col("group") == "buffer"), 2).otherwise(F.col("lap"))
+    right = F.when(F.col("lap") == 2, "flankr").otherwise("buffer")
+    group = F.when(F.col("to.kind") == "cyc_l", "module").when(F.col("to.kind") == "cyc_r", right).otherwise(F.col("group"))
+    state = lambda node, g, k: F.struct(*(F.col(c).alias(c) for c in by), node.alias("node"), g.alias("group"), k.cast("int").alias("lap"))
+    steps = step.select(state(F.col("src"), F.col("group"), F.col("lap")).alias("at"), state(F.col("to.dst"), group, lap).alias("to"))
+    starts = _first_flank_node(nodes, by).select(state(F.col("node"), F.lit("flankl"), F.lit(1)).alias("at"))
+    walked = follow(steps, starts).select("at.*", "hops")
+    return _settled(walked.groupBy(*by, "node").agg(F.max_by("group", "hops").alias("group")))
+
+
+def flank_paths(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """group, pos, node: the nodes of flankl, buffer and flankr along the reference, without the module's ends.
+
+    The left flank goes from the first flank node by the first edge, the others from cyc_r; the right one takes the farthest reference node at
+    each step, the buffer the nearest or cyc_l, where it and the left flank end.
     """
-    at, after, start, left, right = _reference_graph(nodes, edges)
-    node, path = start if group == "flankl" else right, []
-    while node is not None and node not in path:
-        path.append(node)
-        if node == left and group != "flankr":
-            break
-        if group == "buffer" and left in after.get(node, ()):
-            node = left
-        elif group == "flankl":
-            node = next((n for n in after.get(node, ()) if at[n] > at[node]), None)
-        else:
-            node = _next(node, at, after, left if group == "buffer" else None, group == "flankr")
-    return [n for i, n in enumerate(path) if not (n in (left, right) and i in (0, len(path) - 1))]
+    by = by or []
+    modes = F.array(*(F.lit(g) for g in ("flankl", "buffer", "flankr")))
+    kinds = nodes.select(*by, F.col("node").alias("src"), F.col("class").alias("from_kind"))
+    ways = _reference_edges(nodes, edges, by).join(kinds, [*by, "src"]).withColumn("group", F.explode(modes))
+    ways = ways.filter("(dp > sp or (group = 'buffer' and kind = 'cyc_l')) and not (from_kind = 'cyc_l' and group <> 'flankr')")
+    first = F.when(F.col("group") == "flankl", F.lit(0)).when(F.col("group") == "flankr", -F.col("dp")).otherwise(F.when(F.col("kind") == "cyc_l", -1).otherwise(F.col("dp")))
+    step = ways.groupBy(*by, "src", "group").agg(F.min_by("dst", F.struct(first, "ord")).alias("to"))
+    state = lambda node, g: F.struct(*(F.col(c).alias(c) for c in by), node.alias("node"), g.alias("group"))
+    steps = step.select(state(F.col("src"), F.col("group")).alias("at"), state(F.col("to"), F.col("group")).alias("to"))
+    right = nodes.filter("ref > 0 and class = 'cyc_r'").select(*by, "node", F.explode(F.array(F.lit("buffer"), F.lit("flankr"))).alias("group"))
+    starts = _first_flank_node(nodes, by).withColumn("group", F.lit("flankl")).unionByName(right)
+    walked = follow(steps, starts.select(state(F.col("node"), F.col("group")).alias("at"))).select("at.*", F.col("hops").alias("pos"))
+    inner = nodes.filter("class not in ('cyc_l', 'cyc_r')").select(*by, "node")
+    return _settled(walked.join(inner, [*by, "node"]).select(*by, "group", "pos", "node"))
+
+
+def flank_path(nodes: DataFrame, edges: DataFrame, group: str) -> list:
+    """Nodes of one flank of flank_paths, in order: a list as long as the reference of one locus."""
+    return [r["node"] for r in flank_paths(nodes, edges).filter(F.col("group") == group).orderBy("pos").select("node").collect()]

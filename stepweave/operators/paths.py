@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.operators.graph import small
+
 
 def by_path() -> Window:
     return Window.partitionBy("path_id").orderBy("pos")
@@ -66,13 +68,22 @@ def region_node(steps: DataFrame) -> DataFrame:
     return filled.groupBy("node").agg(F.min(F.struct("path_id", "pos", "rnode")).alias("t")).select("node", F.col("t.rnode").alias("rnode"))
 
 
+def labelled(steps: DataFrame, groups: DataFrame) -> DataFrame:
+    """Adds label, the group of a step's node (groups: node, group, as of locus.node_groups), null for nodes off the walk."""
+    return steps.join(small(groups.select("node", F.col("group").alias("label"))), "node", "left")
+
+
 def split_subreads(steps: DataFrame) -> DataFrame:
-    """Cuts paths before cyc_l and after cyc_r: adds sub (from 0), sub_pos, and group, that of the segment's first labelled step."""
+    """Cuts paths before cyc_l and after cyc_r: adds sub (from 0), sub_pos, and group, that of the segment's first labelled step.
+
+    Labels are in the column label (see labelled()); without one, they follow the classes: flank or module.
+    """
     cut = (F.col("pos") > 0) & ((F.col("class") == "cyc_l") | (F.lag("class").over(by_path()) == "cyc_r"))
     cut = steps.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int"))
     subs = cut.withColumn("sub", F.sum("cut").over(by_path().rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("cut")
     inside = Window.partitionBy("path_id", "sub").orderBy("pos")
     group = F.when(F.col("class") == "ref", "flank").when(F.col("class").isin("c1", "c2", "cyc_l", "cyc_r"), "module")
+    group = F.col("label") if "label" in steps.columns else group
     first = F.first(group, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return subs.withColumn("sub_pos", (F.row_number().over(inside) - 1).cast("long")).withColumn("group", F.coalesce(first, F.lit("none")))
 
@@ -83,9 +94,14 @@ def drop_lone_flanks(subreads: DataFrame) -> DataFrame:
     return subreads.join(n.filter("last > 0 or g = 'module'").select("path_id"), "path_id", "left_semi")
 
 
-def informative(steps: DataFrame) -> DataFrame:
-    """Paths that hold a module-specific node."""
-    return steps.join(steps.filter(F.col("class").isin("c1", "c2")).select("path_id").distinct(), "path_id", "left_semi")
+def informative(steps: DataFrame, on_walk: bool = False) -> DataFrame:
+    """Paths that hold a module-specific node; with on_walk, one whose label is module (see labelled()).
+
+    Of two alleles at one place the walk over the reference passes one, so on_walk drops reads that hold only the other's nodes.
+    """
+    own = steps.filter(F.col("class").isin("c1", "c2"))
+    own = own.filter("label = 'module'") if on_walk else own
+    return steps.join(own.select("path_id").distinct(), "path_id", "left_semi")
 
 
 def select_module(subreads: DataFrame, module: str, least: int = 5, share: float = 0.5) -> DataFrame:

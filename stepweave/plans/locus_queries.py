@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepweave.operators import copynumber, fusions, haplotypes, locus, order, paths, variants, views
+from stepweave.operators.graph import _settled
 from stepweave.plans.adapter import INTERVALS_SQL, READS_SQL, STEPS_SQL, read, reads, spans, steps
 from stepweave.sources.loci import contig_bounds
 
@@ -97,6 +98,44 @@ def _alignments(s: SparkSession, d: str) -> DataFrame:
     return scores.groupBy("read").agg(F.max("score").alias("score"), F.max("length").alias("length"))
 
 
+def _brand_loci(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A locus for each brand: its parts by key are the nodes, a module from the second quarter on, the buffer in the third. Edges skip one node, too."""
+    w = Window.partitionBy("p_brand")
+    p = read(s, d, "part").select(F.col("p_brand").alias("locus"), F.col("p_partkey").alias("node"), "p_size", (F.row_number().over(w.orderBy("p_partkey")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("k"))
+    kind = F.when(F.col("r") == F.expr("k div 4"), "cyc_l").when(F.col("r") == F.expr("k div 2"), "cyc_r")
+    kind = kind.when((F.col("r") < F.expr("k div 4")) | (F.col("r") > F.expr("k div 2")), "ref").otherwise(F.element_at(F.array(*map(F.lit, ("c1", "c2", "none"))), (F.col("p_size") % 3 + 1).cast("int")))
+    p = _settled(p.withColumn("class", kind))
+    nodes = p.select("locus", "node", "class", (F.col("r") * 100).alias("rpos_min"), F.lit(1).alias("ref"))
+    to = F.array(F.col("r") + 1, F.when((F.col("r") >= F.expr("k div 4")) & (F.col("r") + 2 <= F.expr("k div 2")), F.col("r") + 2), F.when(F.col("r") == F.expr("k div 2"), F.expr("k * 3 div 4")), F.when(F.col("r") == F.expr("k * 3 div 4 - 1"), F.expr("k div 4")))
+    out = p.select("locus", F.col("node").alias("src"), F.posexplode(to).alias("ord", "to")).filter("to is not null")
+    return nodes, out.join(p.select("locus", F.col("r").alias("to"), F.col("node").alias("dst")), ["locus", "to"]).select("locus", "src", "dst", "ord")
+
+
+def _groups(s: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _brand_loci(s, d)
+    return locus.node_groups(nodes, edges, ["locus"])
+
+
+def _grouped_subreads(s: SparkSession, d: str) -> DataFrame:
+    """Orders as reads over the parts, labelled along the walks, cut at module ends, those with a marker on a walk's module kept."""
+    nodes, edges = _brand_loci(s, d)
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1
+    rows = read(s, d, "lineitem").select(F.col("l_orderkey").alias("path_id"), pos.alias("pos"), F.col("l_partkey").alias("node")).join(nodes.select("node", "class"), "node")
+    subs = paths.split_subreads(paths.informative(paths.labelled(rows, locus.node_groups(nodes, edges, ["locus"])), on_walk=True))
+    return subs.groupBy("path_id", "sub").agg(F.first("group").alias("group"), F.count(F.lit(1)).alias("n"))
+
+
+LOCI = """own as (select p_brand as locus, p_partkey as node, p_size, row_number() over w - 1 as r, count(*) over (partition by p_brand) as k from part window w as (partition by p_brand order by p_partkey)),
+  nodes_ as (select locus, node, r, k, case when r = k // 4 then 'cyc_l' when r = k // 2 then 'cyc_r' when r < k // 4 or r > k // 2 then 'ref' else ['c1', 'c2', 'none'][p_size % 3 + 1] end as class from own),
+  tos as (select locus, node, r, r + 1 as t, 0 as ord from nodes_ union all select locus, node, r, r + 2, 1 from nodes_ where r >= k // 4 and r + 2 <= k // 2 union all select locus, node, r, k * 3 // 4, 2 from nodes_ where r = k // 2 union all select locus, node, r, k // 4, 3 from nodes_ where r = k * 3 // 4 - 1),
+  modes(grp, lap) as (values ('flankl', 1), ('module', 1), ('buffer', 1), ('module', 2), ('flankr', 2)),
+  ways as (select tos.node as src, grp, lap, b.node as dst, b.class from tos join nodes_ b on b.locus = tos.locus and b.r = tos.t, modes where b.r > tos.r or (grp = 'buffer' and b.class = 'cyc_l')
+    qualify row_number() over (partition by tos.node, grp, lap order by case when lap = 1 then b.r else -b.r end, ord) = 1),
+  on_ as (select src, grp, lap, dst, case when class = 'cyc_l' then 'module' when class = 'cyc_r' then case when lap = 2 then 'flankr' else 'buffer' end else grp end as grp2, case when class = 'cyc_l' and grp = 'buffer' then 2 else lap end as lap2 from ways),
+  went as (select locus, arg_min(node, r) as node, 'flankl' as grp, 1 as lap, 0 as hops from nodes_ where class = 'ref' group by 1 union all select locus, dst, grp2, lap2, hops + 1 from went join on_ on src = node and on_.grp = went.grp and on_.lap = went.lap),
+  labels as (select locus, node, arg_max(grp, hops) as label from went group by 1, 2)"""
+
+
 def add(register, s_sql: str = STEPS_SQL) -> None:
     register("reference_coordinates", lambda s, d: locus.reference_coordinates(steps(s, d), _nodes(s, d), REF), WALK + "==== select * from coords", "node size:i ref:i rpos_min:i rpos_max:i")
     register("module_ends", lambda s, d: locus.module_ends(locus.reference_coordinates(steps(s, d), _nodes(s, d), REF), locus.reference_walk(steps(s, d), _nodes(s, d), REF)), WALK + ", j as (select w.node, pos, rpos_max - rpos_min as jump from walk w join coords using (node)), far as (select * from j where jump > 0.9 * (select max(jump) from j)) ==== select arg_min(node, pos) as cyc_l, arg_max(node, pos) as cyc_r from far", "cyc_l cyc_r")
@@ -111,6 +150,12 @@ def add(register, s_sql: str = STEPS_SQL) -> None:
   parts as (select path_id, sub, coalesce(arg_min(case when class = 'ref' then 'flank' when class in ('c1','c2','cyc_l','cyc_r') then 'module' end, pos) filter (class <> 'none'), 'none') as grp, count(*) > 2 as sure from numbered group by 1, 2),
   runs0 as (select *, sum((not sure)::int) over (partition by path_id order by sub) as r from parts),
   runs as (select path_id, r, string_agg(grp, '>' order by sub) as run, count(*) as k from runs0 where sure group by 1, 2)"""
+    register("node_groups", _groups, "recursive! " + LOCI + """==== select locus, node, label as "group" from labels""", "locus node:i group")
+    register("subread_groups", _grouped_subreads, "recursive! " + LOCI + """, rows_ as (select l_orderkey as path_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as pos, l_partkey as node, class, label from lineitem join nodes_ on node = l_partkey left join labels using (node)),
+  kept as (select * from rows_ where path_id in (select path_id from rows_ where class in ('c1', 'c2') and label = 'module')),
+  cuts as (select *, case when pos > 0 and (class = 'cyc_l' or coalesce(lag(class) over (partition by path_id order by pos), '') = 'cyc_r') then 1 else 0 end as cut from kept),
+  numbered as (select *, sum(cut) over (partition by path_id order by pos) as sub from cuts)
+==== select path_id, sub, coalesce(arg_min(label, pos) filter (label is not null), 'none') as "group", count(*) as n from numbered group by 1, 2""", "path_id:i sub:i group n:i")
     register("module_adjacency", _adjacency, subs + "==== select run, count(*) as n from runs where k > 1 group by 1", "run n:i")
     register("copy_number_coverage", _copy_from_coverage, READS_SQL + """, kinds as (select p_partkey as node, case when p_partkey % 5 = 0 then 'ref' when p_partkey % 5 < 3 then 'none' else 'c1' end as class from part),
   t as (select *, unnest(range(start // 50, (stop - 1) // 50 + 1)) as b from reads where stop > start),

@@ -12,10 +12,13 @@ from stepweave.operators import calls, copynumber, fusions, haplotypes, locus, p
 from stepweave.operators.graph import _settled
 
 
-def subread_steps(steps: DataFrame, least: int = 0) -> DataFrame:
-    """Steps of subreads: path_id (read_sr<number>), pos, node, class, size, and the read, sub, group. Reads shorter than `least` bases go, if steps has span."""
-    rows = steps.filter(F.col("span") >= least) if least and "span" in steps.columns else steps
-    subs = paths.drop_lone_flanks(paths.split_subreads(paths.informative(rows)))
+def subread_steps(steps: DataFrame, groups: DataFrame, least: int = 0, on_walk: bool = False) -> DataFrame:
+    """Steps of subreads: path_id (read_sr<number>), pos, node, class, size, and the read, sub, group. Reads shorter than `least` bases go, if steps has span.
+
+    groups: node, group of locus.node_groups; a subread is of the first group that a node of it has. on_walk: see paths.informative.
+    """
+    rows = paths.labelled(steps.filter(F.col("span") >= least) if least and "span" in steps.columns else steps, groups)
+    subs = paths.drop_lone_flanks(paths.split_subreads(paths.informative(rows, on_walk)))
     name = F.concat(F.col("path_id").cast("string"), F.lit("_sr"), F.col("sub"))
     return subs.select(name.alias("path_id"), F.col("sub_pos").alias("pos"), "node", "class", "size", F.col("path_id").alias("read"), "sub", "group")
 
@@ -33,7 +36,8 @@ def call(steps: DataFrame, nodes: DataFrame, edges: DataFrame, notes: DataFrame
 
     hap_steps are assembled haplotypes, of which one is enough support.
     """
-    reads = _settled(subread_steps(steps))
+    groups = locus.node_groups(nodes, edges)
+    reads = _settled(subread_steps(steps, groups))
     known = deconstruct(nodes, edges, notes, offset)
     small = known.join(variants.support(reads, known, -(-markers // 2)), "variant")
     found = _settled(fusions.candidates(reads, markers))
@@ -41,7 +45,7 @@ def call(steps: DataFrame, nodes: DataFrame, edges: DataFrame, notes: DataFrame
     near = fusions.neighbours(reads, markers)
     lists = ("haps_alt", "haps_ref")
     if hap_steps is not None:
-        haps = _settled(subread_steps(hap_steps))
+        haps = _settled(subread_steps(hap_steps, groups))
         small = small.join(variants.support(haps, known, -(-markers // 2), haplotypes=True), "variant")
         found = _settled(found.unionByName(fusions.candidates(haps, markers).join(found, "variant", "left_anti")))
         big = fusions.support(reads, found, markers).join(fusions.support(haps, found, markers, haplotypes=True).select("variant", *lists), "variant")
@@ -68,11 +72,14 @@ def diplotype(steps: DataFrame, nodes: DataFrame, edges: DataFrame, settings: li
     """
     spark = steps.sparkSession
     ends = {r["class"]: r["node"] for r in nodes.filter("class in ('cyc_l', 'cyc_r')").select("class", "node").collect()}  # two rows
-    flanks = {g: locus.flank_path(nodes, edges, g) for g in ("flankl", "buffer", "flankr")}
+    groups = locus.node_groups(nodes, edges)
+    flanks = {"flankl": [], "buffer": [], "flankr": []}
+    for r in locus.flank_paths(nodes, edges).orderBy("group", "pos").collect():  # no more rows than the reference has nodes at one locus
+        flanks[r["group"]].append(r["node"])
     default = edges.groupBy("src").agg(F.max_by("dst", "ord").alias("dst"))
     found, pairs = {}, []
     for s in settings:
-        subs = _settled(subread_steps(steps, s["read_len"]))
+        subs = _settled(subread_steps(steps, groups, s["read_len"]))
         module = subs.filter(F.col("group") == "module").select(F.col("path_id").alias("id"), "pos", "node", "class")
         seen = _settled(haplotypes.observations(module, s["read_support"]))
         of = haplotypes.cluster_by_em(seen, s["modules"]) if s["method"] == "em" else haplotypes.cluster_by_network(seen, s["modules"], s["marker_support"])
@@ -81,8 +88,7 @@ def diplotype(steps: DataFrame, nodes: DataFrame, edges: DataFrame, settings: li
         if not names or len(names) > haplotypes.MOST_CLUSTERS:
             continue
         walks = haplotypes.consensus(module.select("id", "pos", "node"), of, ends["cyc_l"], ends["cyc_r"], default)
-        group = F.when(F.col("group") == "flank", F.when(F.col("sub") == 0, "flankl").otherwise("flankr")).otherwise(F.col("group"))
-        threads = subs.groupBy("read", "sub", F.col("path_id").alias("id")).agg(F.first(group).alias("group")).join(of, "id", "left")
+        threads = subs.groupBy("read", "sub", F.col("path_id").alias("id")).agg(F.first("group").alias("group")).join(of, "id", "left")
         own = F.coalesce(F.col("cluster").cast("string"), F.when(F.col("group") != "module", F.col("group")))
         sure = F.when(F.col("cluster").isNull() & (F.col("group") != "module"), 1.0).otherwise(F.col("confidence"))
         runs = haplotypes.adjacency(threads.select(F.col("read").alias("path_id"), "sub", own.alias("cluster"), sure.alias("confidence")))
@@ -102,7 +108,8 @@ def diplotype(steps: DataFrame, nodes: DataFrame, edges: DataFrame, settings: li
 
 def surject(steps: DataFrame, nodes: DataFrame, edges: DataFrame, haps: dict[str, list]) -> DataFrame:
     """sread, read, start, end, haplotype, module of module subreads of reads aligned to a diplotype; steps has read_pos."""
-    groups = {r["node"]: r["group"] for r in locus.node_groups(nodes, edges).collect()}
+    found = locus.node_groups(nodes, edges)
+    groups = {r["node"]: r["group"] for r in found.collect()}  # the reference nodes of one locus
     right = nodes.filter("class = 'cyc_r'").select("node").first()["node"]
-    subs = paths.split_subreads(steps)
+    subs = paths.split_subreads(paths.labelled(steps, found))
     return haplotypes.assign_subreads(steps, subs, haps, groups, right)
