@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stepweave.operators import copynumber, fusions, haplotypes, locus, order, paths, variants, views
 from stepweave.operators.graph import _settled
 from stepweave.plans.adapter import INTERVALS_SQL, READS_SQL, STEPS_SQL, read, reads, spans, steps
+from stepweave.sources import expand_alignments
 from stepweave.sources.loci import contig_bounds
 
 REF = 1  # the path that stands for the reference
@@ -98,6 +99,31 @@ def _alignments(s: SparkSession, d: str) -> DataFrame:
     return scores.groupBy("read").agg(F.max("score").alias("score"), F.max("length").alias("length"))
 
 
+def _cigar_nodes(s: SparkSession, d: str) -> DataFrame:
+    """Orders as alignments along their parts: each line is a step of the path and two operations."""
+    line = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag")
+    rows = read(s, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("name")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    step = lambda x: F.concat(F.when(x["l_returnflag"] == "R", "<").otherwise(">"), x["l_partkey"].cast("string"))
+    kind = lambda x, *of: F.element_at(F.array(*map(F.lit, of)), (x["l_linenumber"] % len(of) + 1).cast("int"))
+    two = lambda x: F.array(F.struct(x["q"].alias("n"), kind(x, "=", "M", "X").alias("op")), F.struct(x["l_linenumber"].cast("int").alias("n"), kind(x, "I", "D").alias("op")))
+    records = rows.select("name", F.array_join(F.transform("lines", step), "").alias("path"), F.lit(0).alias("path_start"), F.lit(0).alias("start"), F.flatten(F.transform("lines", two)).alias("ops"))
+    nodes = read(s, d, "part").select(F.col("p_partkey").cast("string").alias("node"), F.col("p_size").alias("size"))
+    return expand_alignments(records, nodes)
+
+
+CIGAR = """l as (select l_orderkey::varchar as name, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity::int, l_returnflag) as k, l_partkey::varchar as node, case when l_returnflag = 'R' then '<' else '>' end as strand, p_size as size, l_quantity::int as q, l_linenumber as i from lineitem join part on p_partkey = l_partkey),
+  n as (select *, coalesce(sum(size) over (partition by name order by k rows between unbounded preceding and 1 preceding), 0) as a from l),
+  o0 as (select name, 2 * k as j, q as n, ['=', 'M', 'X'][i % 3 + 1] as op from l union all select name, 2 * k + 1, i, ['I', 'D'][i % 2 + 1] from l),
+  o as (select *, coalesce(sum(case when op <> 'I' then n end) over w, 0) as a, coalesce(sum(case when op <> 'D' then n end) over w, 0) as read from o0 window w as (partition by name order by j rows between unbounded preceding and 1 preceding)),
+  r as (select n.name, k, node, strand, size, op, greatest(n.a, o.a) - n.a as x, least(n.a + size, o.a + o.n) - 1 - n.a as y, read + greatest(n.a, o.a) - o.a as read from n join o on n.name = o.name and n.a < o.a + o.n and o.a < n.a + size where op in ('=', 'M')),
+  e as (select name, k, node, strand, size, min(x) as x, max(y) filter (op = '=') as y, arg_min(read, x) as read from r group by all),
+  v0 as (select *, case when lag(node) over (partition by name order by k) = node then 0 else 1 end as new from e),
+  v as (select *, sum(new) over (partition by name order by k) as visit from v0),
+  m as (select name, min(k) as k, arg_min(node, k) as node, arg_min(strand, k) as strand, arg_min(size, k) as size, arg_min(x, k) as x, arg_max(y, k) filter (y is not null) as y, arg_min(read, k) as read from v group by name, visit),
+  f as (select name, count(*) filter (strand = '<') > count(*) filter (strand = '>') as flip from l group by 1),
+  p as (select name, k, node, flip, read, case when strand = '>' then x else size - x end as a, case when strand = '>' then coalesce(y, x) else size - coalesce(y, x) end as b from m join f using (name))"""
+
+
 def _brand_loci(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A locus for each brand: its parts by key are the nodes, a module from the second quarter on, the buffer in the third. Edges skip one node, too."""
     w = Window.partitionBy("p_brand")
@@ -150,6 +176,7 @@ def add(register, s_sql: str = STEPS_SQL) -> None:
   parts as (select path_id, sub, coalesce(arg_min(case when class = 'ref' then 'flank' when class in ('c1','c2','cyc_l','cyc_r') then 'module' end, pos) filter (class <> 'none'), 'none') as grp, count(*) > 2 as sure from numbered group by 1, 2),
   runs0 as (select *, sum((not sure)::int) over (partition by path_id order by sub) as r from parts),
   runs as (select path_id, r, string_agg(grp, '>' order by sub) as run, count(*) as k from runs0 where sure group by 1, 2)"""
+    register("cigar_nodes", _cigar_nodes, CIGAR + "==== select name as path_id, row_number() over (partition by name order by case when flip then -k else k end) - 1 as pos, node, case when flip then b else a end as start_pos, case when flip then a else b end as end_pos, read as read_pos from p", "path_id pos:i node start_pos:i end_pos:i read_pos:i")
     register("node_groups", _groups, "recursive! " + LOCI + """==== select locus, node, label as "group" from labels""", "locus node:i group")
     register("subread_groups", _grouped_subreads, "recursive! " + LOCI + """, rows_ as (select l_orderkey as path_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as pos, l_partkey as node, class, label from lineitem join nodes_ on node = l_partkey left join labels using (node)),
   kept as (select * from rows_ where path_id in (select path_id from rows_ where class in ('c1', 'c2') and label = 'module')),

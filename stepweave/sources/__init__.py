@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions import mostly_reverse, parse_cigar, parse_difference, parse_path, tag
+from stepweave.operators.graph import small
 
 NODE_INFO = "node string, size int, seq string, ref int, c1 int, c2 int, rpos_min int, rpos_max int, rnode string, class string"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their order (file, then place in it) and tab-separated fields; gzip is transparent."""
-    text = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
-    return text.select("ord", F.split("value", "\t").alias("f"))
+    """Lines with their order (file name, then place in the file) and tab-separated fields; gzip is transparent.
+
+    ord is a struct: Spark deals files and their parts to tasks by size, so a row's number alone tells its place within one part only.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(place.alias("ord"), F.split("value", "\t").alias("f"))
 
 
 def node_info(spark: SparkSession, path: str) -> DataFrame:
@@ -75,57 +78,52 @@ def gaf_stats(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
     return rows.join(hit, "ord").select(F.expr("f[0]").alias("read"), F.expr("cast(f[1] as int)").alias("length"), F.expr("cast(f[10] as int)").alias("aligned"), F.expr("cast(f[9] as int)").alias("matches"), tag(rest, "dv").alias("dv"), tag(rest, "id").alias("id"))
 
 
-def walk(sizes: list[int], strands: list[str], ops: list[tuple[int, str]], path_start: int, read_start: int) -> list[tuple[int, int, int, int]]:
-    """(step, start, end, read position) of each covered node, by runs of operations.
-
-    = and M cover; M does not move the end, which is that of the last = base; X, = and M move both
-    sides, I the read, D the graph. On a reverse step positions count from the node's end.
-    """
-    out: list[list[int]] = []
-    k, at, read, last = 0, path_start, read_start, -1
-    for n, op in ops:
-        if op == "I":
-            read += n
-            continue
-        while n > 0 and k < len(sizes):
-            if at >= sizes[k]:
-                k, at = k + 1, at - sizes[k]
-                continue
-            run = min(n, sizes[k] - at)
-            if op in "=M":
-                place = lambda p, k=k: p if strands[k] == ">" else sizes[k] - p
-                if last != k:
-                    out.append([k, place(at), place(at), read])
-                    last = k
-                if op == "=":
-                    out[-1][2] = place(at + run - 1)
-            at, n = at + run, n - run
-            read += run if op != "D" else 0
-    return [tuple(o) for o in out]
-
-
 def expand_alignments(records: DataFrame, nodes: DataFrame) -> DataFrame:
     """path_id, pos, node, start_pos, end_pos, read_pos of each covered node; flipped where most steps are reverse.
 
-    Sizes are joined to steps by node and gathered per record, whose walk is short; an Arrow function runs it.
+    records: name, path, path_start, start, ops. = and M cover; M does not move the end, which is that of the last = base. X, = and M move both
+    sides, I the read, D the graph; other operations count for nothing. On a reverse step positions count from the node's end. Neighbouring
+    visits of one node are one step. Records with a node that is not in `nodes` are left out.
+
+    Operations and nodes both lie along the path, at the sums of what comes before them. Sorted by place in one window for a record, each
+    stretch between two of these places has one operation and one node, and what a node covers is an aggregate of its stretches.
     """
-    steps = records.select("name", F.posexplode(parse_path(F.col("path"))).alias("k", "s"))
-    sized = steps.select("name", "k", "s.node", "s.strand").join(nodes.select("node", "size"), "node")
-    listed = sized.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("k", "node", "strand", "size"))).alias("steps"))
-    rows = records.select("name", "path", "path_start", "start", "ops").join(listed, "name")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                s = list(r.steps)
-                found = walk([x["size"] for x in s], [x["strand"] for x in s], [(x["n"], x["op"]) for x in r.ops], r.path_start, r.start)
-                flip = r.path.count("<") > r.path.count(">")
-                for pos, (k, a, b, read) in enumerate(found[::-1] if flip else found):
-                    out.append((r.name, pos, s[k]["node"], b if flip else a, a if flip else b, read))
-            yield pd.DataFrame(out, columns=["path_id", "pos", "node", "start_pos", "end_pos", "read_pos"])
-
-    return rows.mapInPandas(run, "path_id string, pos int, node string, start_pos int, end_pos int, read_pos int")
+    per = Window.partitionBy("name")
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    wide = ("=", "M", "X", "D")
+    ops = records.select("name", F.col("path_start").alias("g"), F.col("start").alias("r"), F.posexplode("ops").alias("i", "o")).select("name", "g", "r", "i", "o.n", "o.op")
+    ops = ops.filter((F.col("n") > 0) & F.col("op").isin(*wide, "I"))
+    in_order = so_far(per.orderBy("i"))
+    moved = lambda *kinds: F.coalesce(F.sum(F.when(F.col("op").isin(*kinds), F.col("n"))).over(in_order), F.lit(0))
+    ops = ops.select("name", "op", "n", (F.col("g") + moved(*wide)).alias("at"), (F.col("r") + moved("I", "=", "M", "X")).alias("read")).filter("op <> 'I'")
+
+    steps = records.select("name", F.posexplode(parse_path(F.col("path"))).alias("k", "s")).select("name", "k", "s.node", "s.strand").join(small(nodes.select("node", "size")), "node", "left")
+    steps = steps.withColumn("unknown", F.max(F.col("size").isNull()).over(per)).filter("not unknown")
+    steps = steps.withColumn("at", F.coalesce(F.sum("size").over(so_far(per.orderBy("k"))), F.lit(0)))
+
+    op, node = F.struct("op", "n", "at", "read"), F.struct("k", "node", "strand", "size", "at")
+    none = lambda t, c: F.lit(None).cast(t.select(c.alias("x")).schema["x"].dataType)
+    places = steps.select("name", "at", F.lit(0).alias("late"), none(ops, op).alias("op"), node.alias("node")).unionByName(ops.select("name", "at", F.lit(1).alias("late"), op.alias("op"), none(steps, node).alias("node")))
+    along = per.orderBy("at", "late")
+    before = along.rowsBetween(Window.unboundedPreceding, 0)
+    runs = places.select("name", "at", F.lead("at").over(along).alias("next"), F.last("op", ignorenulls=True).over(before).alias("op"), F.last("node", ignorenulls=True).over(before).alias("node"))
+    runs = runs.withColumn("stop", F.least("next", F.col("op.at") + F.col("op.n"), F.col("node.at") + F.col("node.size"))).filter("node is not null and stop > at and op.op in ('=', 'M')")
+    begin = F.struct(F.col("at") - F.col("node.at"), F.col("op.read") + F.col("at") - F.col("op.at"))
+    each = runs.groupBy("name", "node").agg(F.min(begin).alias("b"), F.max(F.when(F.col("op.op") == "=", F.col("stop") - 1 - F.col("node.at"))).alias("last"))
+    each = each.select("name", F.col("node.k").alias("k"), "node.node", "node.strand", "node.size", F.col("b.col1").alias("first"), F.col("b.col2").alias("read"), "last")
+
+    order = per.orderBy("k")
+    again = F.coalesce(F.lag("node").over(order) == F.col("node"), F.lit(False))
+    each = each.withColumn("visit", F.sum((~again).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    by_k = lambda c: F.min_by(c, "k")
+    each = each.groupBy("name", "visit").agg(F.min("k").alias("k"), *(by_k(c).alias(c) for c in ("node", "strand", "size", "first", "read")), F.max_by("last", F.when(F.col("last").isNotNull(), F.col("k"))).alias("last"))
+    place = lambda c: F.when(F.col("strand") == ">", c).otherwise(F.col("size") - c)
+    each = each.select("name", "k", "node", "read", place(F.col("first")).alias("a"), place(F.coalesce("last", "first")).alias("b"))
+    each = each.join(records.select("name", mostly_reverse(F.col("path")).alias("flip")), "name")
+    way = F.when(F.col("flip"), -F.col("k")).otherwise(F.col("k"))
+    pos = F.row_number().over(per.orderBy(way)) - 1
+    turned = lambda x, y: F.when(F.col("flip"), F.col(y)).otherwise(F.col(x)).cast("int")
+    return each.select(F.col("name").alias("path_id"), pos.cast("int").alias("pos"), "node", turned("a", "b").alias("start_pos"), turned("b", "a").alias("end_pos"), F.col("read").cast("int").alias("read_pos"))
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
