@@ -74,11 +74,12 @@ def rank_last(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.withColumn("rk", F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(F.desc(value)).rangeBetween(Window.unboundedPreceding, 0)))
 
 
-def similarity(observed: DataFrame) -> DataFrame:
-    """a < b, common, same, sim: subreads (id, marker, allele) compared on the markers that both have."""
-    two = observed.select(F.col("id").alias("b"), "marker", F.col("allele").alias("other"))
-    pairs = observed.select(F.col("id").alias("a"), "marker", "allele").join(two, "marker").filter("a < b")
-    n = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.count_if(F.col("allele") == F.col("other")).alias("same"))
+def similarity(observed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """a < b, common, same, sim: subreads (id, marker, allele) compared on the markers that both have, within each value of the columns in `by`."""
+    by = by or []
+    two = observed.select(*by, F.col("id").alias("b"), "marker", F.col("allele").alias("other"))
+    pairs = observed.select(*by, F.col("id").alias("a"), "marker", "allele").join(two, [*by, "marker"]).filter("a < b")
+    n = pairs.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("common"), F.count_if(F.col("allele") == F.col("other")).alias("same"))
     return n.withColumn("sim", F.col("same") / F.col("common"))
 
 

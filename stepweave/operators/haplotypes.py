@@ -1,20 +1,21 @@
 """From subreads to diplotypes: profiles, clusters, consensus walks, module adjacency, and reads aligned to haplotypes.
 
-Profiles, consensus and alignments are per subread, cluster or read, and run in parallel; what is sequential by nature (expectation
-maximisation, communities) runs in one group per sample and parameter set, over the subreads of one locus.
+Profiles, consensus and alignments are per subread, cluster or read, and run in parallel; clusters are found in rounds of joins over all
+samples and parameter sets at once (clustering.py).
 """
 
 from __future__ import annotations
 
 from itertools import product
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions import contains_slice
-from stepweave.operators.diplotype import composite_rank, pair_likelihood, pair_metrics, quantile_at, similarity
+from stepweave.operators.clustering import communities, em
+from stepweave.operators.diplotype import composite_rank, pair_likelihood, pair_metrics, similarity
+from stepweave.operators.graph import _settled
 from stepweave.operators.order import longest, running
 from stepweave.operators.paths import by_path, marker_profile
 
@@ -68,139 +69,56 @@ def exclusive_observations(steps: DataFrame, exclusive: DataFrame) -> DataFrame:
     return taken.groupBy(F.col("path_id").alias("id"), "marker").agg(F.max_by("allele", "pos").alias("allele"))
 
 
-def _ordered(observed: dict[str, dict]) -> list[str]:
-    return sorted(observed, key=lambda i: (-len(observed[i]), i))
+def cluster_by_em(observed: DataFrame, states: int | str, by: list[str] | None = None) -> DataFrame:
+    """id, cluster, confidence of observations (id, marker, allele), for each value of the columns in `by` (sample, parameter set); see clustering.em."""
+    return em(observed, states, by)
 
 
-def em_clusters(observed: dict[str, dict], states: int, rounds: int = 10) -> list[tuple[str, int, float]]:
-    """(id, cluster, confidence): `states` allele profiles, fitted by assigning the longest subreads first.
+def network(observed: DataFrame, clusters: int | str, quantile: float | str = 0.5, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Similarities (by, a, b, common, same, sim; a < b) and directed weights (by, a, b, weight) of subreads, adjusted by rank.
 
-    A subread goes to the profile of the greatest likelihood, with a prior that falls as the profile fills up; profiles then take the
-    alleles' shares, kept within a margin of 0.2 of certainty, and of 0.1 in a last round. At the end there is no prior, and the
-    confidence is the distance to the second-best profile.
+    Pairs need as many common markers as that quantile of all pairs has. A neighbour's weight is 0 from the rank on that is the number
+    of neighbours over the number of clusters. clusters and quantile are numbers, or columns that hold them for each group.
     """
-    alleles: dict = {}
-    for ob in observed.values():
-        for m, a in ob.items():
-            alleles.setdefault(m, set()).add(a)
-    profile = [{m: dict.fromkeys(v, 1 / len(v)) for m, v in alleles.items()} for _ in range(states)]
-    order, likely = _ordered(observed), lambda ob, p: sum(np.log(max(p[m].get(a, 0.0), 1e-4)) for m, a in ob.items())
-    for margin in [0.2] * rounds + [0.1]:
-        size, counts, room = [0] * states, [{} for _ in range(states)], len(order) / states
-        for i in order:
-            scores = [likely(observed[i], profile[s]) + np.log(1 - size[s] / room if size[s] < room else 1e-8) for s in range(states)]
-            best = int(np.argmax(scores))
-            size[best] += 1
-            for m, a in observed[i].items():
-                seen = counts[best].setdefault(m, {})
-                seen[a] = seen.get(a, 0) + 1
-        for s in range(states):
-            for m, seen in counts[s].items():
-                profile[s][m].update({a: min(max(n / sum(seen.values()), margin), 1 - margin) for a, n in seen.items()})
-    out = []
-    for i in order:
-        scores = [likely(observed[i], profile[s]) for s in range(states)]
-        top = sorted(scores, reverse=True)
-        out.append((i, int(np.argmax(scores)), float(top[0] - top[1]) if states > 1 else 1.0))
-    return out
-
-
-def communities(weights: dict[str, dict[str, float]]) -> dict[str, int]:
-    """Community of each node of an undirected weighted graph, by moving nodes to the neighbouring community of the greatest gain in modularity, and again between communities.
-
-    Nodes are visited in ascending order and ties go to the least community, so that the result is the same each time.
-    """
-    graph = {a: {b: float(w) for b, w in near.items()} for a, near in weights.items()}
-    inside = {a: [a] for a in graph}
-    loops = dict.fromkeys(graph, 0.0)
-    while True:
-        names = sorted(graph)
-        degree = {a: sum(graph[a].values()) + 2 * loops[a] for a in names}
-        total = sum(degree.values())
-        of, volume, moved = {a: a for a in names}, dict(degree), False
-        if not total:
-            break
-        again = True
-        while again:
-            again = False
-            for a in names:
-                volume[of[a]] -= degree[a]
-                links: dict = {of[a]: 0.0}
-                for b, w in graph[a].items():
-                    links[of[b]] = links.get(of[b], 0.0) + w
-                best = max(sorted(links), key=lambda c: links[c] - volume[c] * degree[a] / total)
-                gain = lambda c: links[c] - volume[c] * degree[a] / total
-                if best != of[a] and gain(best) > gain(of[a]) + 1e-12:
-                    of[a], again, moved = best, True, True
-                volume[of[a]] += degree[a]
-        if not moved:
-            break
-        merged: dict = {}
-        for a in names:
-            merged.setdefault(of[a], []).append(a)
-        new, new_loops = {c: {} for c in merged}, dict.fromkeys(merged, 0.0)
-        for a in names:
-            new_loops[of[a]] += loops[a]
-            for b, w in graph[a].items():
-                if of[a] == of[b]:
-                    new_loops[of[a]] += w / 2
-                else:
-                    new[of[a]][of[b]] = new[of[a]].get(of[b], 0.0) + w
-        inside = {c: [x for a in members for x in inside[a]] for c, members in merged.items()}
-        graph, loops = new, new_loops
-    groups = sorted((min(v), v) for v in inside.values())
-    return {x: k for k, (_, v) in enumerate(groups) for x in v}
-
-
-def cluster_by_em(observed: DataFrame, states: int, by: list[str] | None = None) -> DataFrame:
-    """id, cluster, confidence of observations (id, marker, allele), for each value of the columns in `by` (sample, parameter set)."""
     by = by or []
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, dict] = {}
-        for r in pdf.itertuples(index=False):
-            seen.setdefault(str(r.id), {})[r.marker] = r.allele
-        out = pd.DataFrame(em_clusters(seen, states), columns=["id", "cluster", "confidence"])
-        return out.assign(**{c: pdf[c].iloc[0] for c in by}) if len(out) else out.reindex(columns=["id", "cluster", "confidence", *by])
-
-    kinds = "".join(f", {c} {observed.schema[c].dataType.simpleString()}" for c in by)
-    return observed.groupBy(*(by or [F.lit(0).alias("all")])).applyInPandas(run, f"id string, cluster int, confidence double{kinds}")
-
-
-def cluster_by_network(observed: DataFrame, clusters: int, quantile: float = 0.5, least: float = 0.01) -> DataFrame:
-    """id, cluster, confidence: communities of the network of adjusted similarities over `least`.
-
-    Pairs need as many common markers as that quantile of all pairs has. A subread without an edge joins its most similar one's cluster,
-    and cluster 0 with confidence 0 if none is similar. Pairs are made by a join on markers; the network, of one locus, is one group.
+    known = [c for c in (clusters, quantile) if isinstance(c, str)]
+    pairs = _settled(similarity(observed, by))
+    settings = observed.select(*by, *(c for c in known if c not in by)).distinct() if known else None
+    value = lambda c: F.col(c).cast("double") if isinstance(c, str) else F.lit(float(c))
+    counts = pairs.groupBy(*by, "common").agg(F.count(F.lit(1)).alias("k"))
+    whole = Window.partitionBy(*by)  # numbers of markers of one locus, counted
+    counts = counts.withColumn("run", F.sum("k").over(whole.orderBy("common"))).withColumn("all", F.sum("k").over(whole))
+    counts = counts.join(settings, by) if settings is not None else counts
+    enough = counts.filter(F.col("run") > F.floor(F.col("all") * value(quantile))).groupBy(*by).agg(F.min("common").alias("enough"))
+    counted = (pairs.join(enough, by) if by else pairs.crossJoin(F.broadcast(enough))).filter("common >= enough")  # one row
+    both = counted.select(*by, "a", "b", "sim").unionByName(counted.select(*by, F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    near = Window.partitionBy(*by, "a")
+    both = both.withColumn("rk", F.count(F.lit(1)).over(near.orderBy(F.desc("sim")).rangeBetween(Window.unboundedPreceding, 0))).withColumn("m", F.count(F.lit(1)).over(near))
+    both = both.join(settings, by) if settings is not None else both
+    limit = F.col("m") / value(clusters)
+    return pairs, both.select(*by, "a", "b", F.when(F.col("rk") < limit, F.col("sim") * (1 - F.col("rk") / limit)).otherwise(0.0).alias("weight"))
+
+
+def cluster_by_network(observed: DataFrame, clusters: int | str, quantile: float | str = 0.5, least: float = 0.01, by: list[str] | None = None) -> DataFrame:
+    """id, cluster, confidence: communities of the network of adjusted similarities over `least`, for each value of the columns in `by`.
+
+    An edge has the weight of its later end's direction, if that is enough, else the other one's. Clusters are numbered by their least
+    subread. A subread without an edge joins its most similar one's cluster, and cluster 0 with confidence 0 if none is similar.
     """
-    pairs = similarity(observed)
-    enough = quantile_at(pairs, "common", quantile).first()
-    counted = pairs.filter(F.col("common") >= (enough[0] if enough else 0))
-    ends = counted.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("m"))
-    both = counted.select("a", "b", "sim").unionByName(counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    place = F.count(F.lit(1)).over(Window.partitionBy("a").orderBy(F.desc("sim")).rangeBetween(Window.unboundedPreceding, 0))
-    limit = F.col("m") / F.lit(float(clusters))
-    weighted = both.withColumn("rk", place).join(ends.withColumnRenamed("id", "a"), "a").select("a", "b", "sim", F.when(F.col("rk") < limit, F.col("sim") * (1 - F.col("rk") / limit)).otherwise(0.0).alias("weight"))
-    raw = pairs.select("a", "b", "sim").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).join(weighted.select("a", "b", "weight"), ["a", "b"], "left")
-    everyone = observed.select(F.col("id").alias("a")).distinct().select("a", F.lit(None).cast(observed.schema["id"].dataType).alias("b"), F.lit(None).cast("double").alias("sim"), F.lit(None).cast("double").alias("weight"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph: dict = {}
-        for r in pdf.sort_values(["a", "b"]).itertuples(index=False):
-            if r.weight == r.weight and r.weight is not None and r.weight > least:
-                graph.setdefault(str(r.a), {})[str(r.b)] = r.weight
-                graph.setdefault(str(r.b), {})[str(r.a)] = r.weight
-        of = communities(graph)
-        out = {i: (c, 1.0) for i, c in of.items()}
-        nearest: dict = {}
-        for r in pdf.itertuples(index=False):
-            if str(r.a) not in of and r.b is not None and str(r.b) in of:
-                nearest[str(r.a)] = max(nearest.get(str(r.a), (-1.0, "")), (r.sim, str(r.b)))
-        for i in sorted({str(x) for x in pdf["a"]} - set(of)):
-            out[i] = (of[nearest[i][1]], 1.0) if i in nearest else (0, 0.0)
-        return pd.DataFrame([(i, c, f) for i, (c, f) in out.items()], columns=["id", "cluster", "confidence"])
-
-    return raw.unionByName(everyone).groupBy(F.lit(0).alias("all")).applyInPandas(run, "id string, cluster int, confidence double")
+    by = by or []
+    observed = _settled(observed.withColumn("id", F.col("id").cast("string")))
+    pairs, weights = network(observed, clusters, quantile, by)
+    strong = weights.filter(F.col("weight") > least)
+    edges = strong.select(*by, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), (F.col("a") > F.col("b")).alias("later"), "weight")
+    edges = edges.groupBy(*by, F.col("x").alias("a"), F.col("y").alias("b")).agg(F.max_by("weight", "later").alias("weight"))
+    of = communities(edges, by).withColumnRenamed("node", "id")
+    number = F.dense_rank().over(Window.partitionBy(*by).orderBy("community")) - 1  # over the subreads of one group
+    of = _settled(of.select(*by, "id", number.alias("cluster")))
+    both = pairs.select(*by, F.col("a").alias("id"), "b", "sim").unionByName(pairs.select(*by, F.col("b").alias("id"), F.col("a").alias("b"), "sim"))
+    like = both.join(of.select(*by, F.col("id").alias("b"), F.col("cluster").alias("near")), [*by, "b"])
+    like = like.groupBy(*by, "id").agg(F.max_by("near", F.struct("sim", "b")).alias("near"))
+    rows = observed.select(*by, "id").distinct().join(of, [*by, "id"], "left").join(like, [*by, "id"], "left")
+    return rows.select(*by, "id", F.coalesce("cluster", "near", F.lit(0)).cast("int").alias("cluster"), F.when(F.coalesce("cluster", "near").isNull(), 0.0).otherwise(1.0).alias("confidence"))
 
 
 def consensus(steps: DataFrame, clusters: DataFrame, start, end, default: DataFrame) -> DataFrame:
