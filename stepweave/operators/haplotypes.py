@@ -12,15 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.functions import contains_slice
 from stepweave.operators.clustering import communities, em
 from stepweave.operators.diplotype import composite_rank, pair_likelihood, pair_metrics, similarity
 from stepweave.operators.graph import _settled
 from stepweave.operators.order import longest, running
-from stepweave.operators.paths import by_path, marker_profile
+from stepweave.operators.paths import by_path
+from stepweave.operators.threading import best_pairs
 
 GAP = 10  # positions of a haplotype that a chain may skip
-MOST_CLUSTERS = 9  # of which all orders are listed
 # The ranges of the presets (first, last, step); `default` with one method alone gives em and kcomms.
 _DEFAULT = {"methods": ("kcomms", "em"), "read_support": (2, 4, 1), "read_len": (0, 10000, 2000), "modules": (2, 8, 1), "marker_support": (0.1, 0.9, 0.4)}
 PRESETS = {
@@ -48,13 +47,18 @@ def sweep(preset: str) -> list[dict]:
     return out
 
 
-def observations(subreads: DataFrame, least: int = 3) -> DataFrame:
-    """id, marker, allele: what follows each marker node in a subread (id, pos, node, class); markers have two alleles of `least` reads or more. A later visit counts."""
-    rows = subreads.withColumnRenamed("id", "path_id")
-    kept = marker_profile(rows, least).select("marker").distinct()
-    seen = rows.withColumn("allele", F.lead("node").over(by_path())).filter("class = 'none' and allele is not null")
-    seen = seen.join(kept.withColumnRenamed("marker", "node"), "node", "left_semi")
-    return seen.groupBy(F.col("path_id").alias("id"), F.col("node").alias("marker")).agg(F.max_by("allele", "pos").alias("allele"))
+def observations(subreads: DataFrame, least: int | str = 3, by: list[str] | None = None) -> DataFrame:
+    """by, id, marker, allele: what follows each marker node in a subread (by, id, pos, node, class). A later visit counts.
+
+    Markers have two alleles of `least` subreads or more within their group; least is a number, or a column that holds it for each group.
+    """
+    by = by or []
+    enough = F.col(least) if isinstance(least, str) else F.lit(least)
+    rows = subreads.withColumn("allele", F.lead("node").over(Window.partitionBy(*by, "id").orderBy("pos"))).filter("class = 'none' and allele is not null")
+    counts = rows.groupBy(*by, F.col("node").alias("marker"), "allele").agg(F.count(F.lit(1)).alias("n"), F.max(enough).alias("enough"))
+    kept = counts.filter("n >= enough").groupBy(*by, "marker").count().filter("count >= 2").select(*by, "marker")
+    seen = rows.withColumnRenamed("node", "marker").join(kept, [*by, "marker"], "left_semi")
+    return seen.groupBy(*by, "id", "marker").agg(F.max_by("allele", "pos").alias("allele"))
 
 
 def exclusive_observations(steps: DataFrame, exclusive: DataFrame) -> DataFrame:
@@ -121,92 +125,23 @@ def cluster_by_network(observed: DataFrame, clusters: int | str, quantile: float
     return rows.select(*by, "id", F.coalesce("cluster", "near", F.lit(0)).cast("int").alias("cluster"), F.when(F.coalesce("cluster", "near").isNull(), 0.0).otherwise(1.0).alias("confidence"))
 
 
-def consensus(steps: DataFrame, clusters: DataFrame, start, end, default: DataFrame) -> DataFrame:
-    """cluster, path: from node `start` by each cluster's best-supported successor up to node `end`.
-
-    steps: id, pos, node; clusters: id, cluster. A node that a cluster does not cover is left by its default successor (default: src, dst); the
-    walk ends where there is none, or where it would run in a circle. Ties go to the least node.
-    """
-    pairs = steps.withColumn("dst", F.lead("node").over(Window.partitionBy("id").orderBy("pos"))).filter("dst is not null").join(clusters, "id")
-    counts = pairs.groupBy("cluster", F.col("node").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("cluster", "src").agg(F.min(F.struct((-F.col("n")).alias("m"), "dst")).alias("t")).select("cluster", "src", F.col("t.dst").alias("dst"))
-    every = clusters.agg(F.collect_set("cluster").alias("cs"))  # one row: clusters are few
-    spare = default.crossJoin(F.broadcast(every)).select(F.explode("cs").alias("cluster"), "src", F.col("dst").alias("spare"))
-    table = best.join(spare, ["cluster", "src"], "full").select("cluster", "src", F.coalesce("dst", "spare").alias("dst"))
-    node = steps.schema["node"].dataType.simpleString()
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after, path = dict(zip(pdf["src"], pdf["dst"])), [start]
-        while path[-1] != end and path[-1] in after and after[path[-1]] not in path:
-            path.append(after[path[-1]])
-        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "path": [path]})
-
-    return table.groupBy("cluster").applyInPandas(walk, f"cluster {clusters.schema['cluster'].dataType.simpleString()}, path array<{node}>")
-
-
-def adjacency(subreads: DataFrame) -> DataFrame:
+def adjacency(subreads: DataFrame, by: list[str] | None = None) -> DataFrame:
     """run, n: runs of neighbouring subreads with a cluster and confidence over 0, of two or more, and how many reads have each.
 
-    subreads: path_id, sub, cluster (text), confidence; others cut a run.
+    subreads: path_id, sub, cluster (text), confidence; others cut a run. For each value of the columns in `by`.
     """
+    by = by or []
     sure = F.col("cluster").isNotNull() & (F.col("confidence") > 0)
-    w = Window.partitionBy("path_id").orderBy("sub")
+    w = Window.partitionBy(*by, "path_id").orderBy("sub")
     cut = F.sum((~sure).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = subreads.withColumn("cut", cut).filter(sure).groupBy("path_id", "cut").agg(F.array_sort(F.collect_list(F.struct("sub", "cluster"))).alias("r"))
-    runs = runs.select(F.transform("r", lambda x: x["cluster"]).alias("run")).filter("size(run) > 1")
-    return runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-
-
-def enumerate_haplotypes(clusters: list[str], buffer: bool = True) -> dict[str, list[list[str]]]:
-    """All orders of one or more clusters between the flanks, by the mask of the clusters used; buffers stand between two of them."""
-    if len(clusters) > MOST_CLUSTERS:
-        raise ValueError(f"{len(clusters)} clusters: all orders are listed of at most {MOST_CLUSTERS}")
-    out: dict[str, list[list[str]]] = {}
-    open_ = [["flankl"]]
-    while open_:
-        hap = open_.pop()
-        for c in clusters:
-            if c not in hap:
-                longer = [*hap, *(["buffer"] if buffer and len(hap) > 1 else []), c]
-                open_.append(longer)
-                out.setdefault("".join("01"[k in longer] for k in clusters), []).append([*longer, "flankr"])
-    return out
-
-
-def enumerate_diplotypes(clusters: list[str], buffer: bool = True) -> list[tuple[str, list[str], list[str]]]:
-    """name, hap1, hap2: pairs of haplotypes that use each cluster once between them; a pair of masks is named from the first of them."""
-    haps, used, out = enumerate_haplotypes(clusters, buffer), set(), []
-    for mask in haps:
-        rest = mask.translate(str.maketrans("01", "10"))
-        if rest in haps and rest not in used:
-            out += [(f"{mask}_{rest}_{k}", one, two) for k, (one, two) in enumerate(product(haps[mask], haps[rest]))]
-            used |= {mask, rest}
-    return out
-
-
-def score_diplotypes(runs: DataFrame, diplotypes: DataFrame) -> DataFrame:
-    """name, hap1, hap2, score: how many runs stand in one of the two haplotypes as neighbours. Both tables are as small as the clusters are few."""
-    held = contains_slice(F.col("hap1"), F.col("run")) | contains_slice(F.col("hap2"), F.col("run"))
-    first = runs.select("run", "n", F.element_at("run", 1).alias("x"))
-    seeds = diplotypes.select("name", "hap1", "hap2", F.explode(F.array_distinct(F.concat("hap1", "hap2"))).alias("x"))
-    found = seeds.join(first, "x").filter(held).groupBy("name").agg(F.sum("n").alias("score"))
-    return diplotypes.join(found, "name", "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    runs = subreads.withColumn("cut", cut).filter(sure).groupBy(*by, "path_id", "cut").agg(F.array_sort(F.collect_list(F.struct("sub", "cluster"))).alias("r"))
+    runs = runs.select(*by, F.transform("r", lambda x: x["cluster"]).alias("run")).filter("size(run) > 1")
+    return runs.groupBy(*by, "run").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_diplotype(runs: DataFrame, clusters: list[str], buffer: bool = True) -> DataFrame:
-    """The row of the best-scored diplotype; the first one listed of those with the same score."""
-    rows = [(k, *d) for k, d in enumerate(enumerate_diplotypes(clusters, buffer))]
-    frame = runs.sparkSession.createDataFrame(rows, "ord long, name string, hap1 array<string>, hap2 array<string>")
-    scored = score_diplotypes(runs, frame.drop("ord")).join(frame.select("name", "ord"), "name")
-    return scored.orderBy(F.desc("score"), "ord").limit(1).select("name", "hap1", "hap2", "score")
-
-
-def thread(diplotype: DataFrame, consensus_paths: DataFrame, flanks: dict[str, list]) -> dict[str, list]:
-    """Name and node path of the two haplotypes of a diplotype's row: the flanks', buffer's and clusters' paths one after another."""
-    row = diplotype.first()
-    parts = {str(r["cluster"]): list(r["path"]) for r in consensus_paths.collect()} | {k: list(v) for k, v in flanks.items()}
-    short = {"flankl": "l", "flankr": "r", "buffer": "b"}
-    return {"_".join(short.get(m, m) for m in hap): [n for m in hap for n in parts.get(m, [])] for hap in (row["hap1"], row["hap2"])}
+    """hap1, hap2, score of the pair of haplotypes that holds most runs; see threading.best_pairs."""
+    return best_pairs(runs, runs.sparkSession.createDataFrame([(c,) for c in clusters], "cluster string"), None, buffer)
 
 
 def chains(path: list, read: list, gap: int = GAP) -> list[list[int]]:
@@ -295,12 +230,13 @@ def evaluate_pairs(steps: DataFrame, hap_steps: DataFrame, scores: DataFrame, sm
     steps: node, size; hap_steps: hap, node, size; pairs: hap1 <= hap2, all of them if there is none. Correlation and deviation take nodes of a size under `small`. rank adds the means of the
     adjusted coverage metrics and of the adjusted alignment metrics.
     """
-    cover = lambda t, *by: t.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n"))
+    cover = lambda t, *by: _settled(t.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n")))
     reads, haps, few = cover(steps), cover(hap_steps, "hap"), F.col("size") < small
     m = pair_metrics(reads, haps).select("hap1", "hap2", "cov_cosine").join(pair_likelihood(reads, haps), ["hap1", "hap2"])
     m = m.join(pair_metrics(cover(steps.filter(few)), cover(hap_steps.filter(few), "hap")).select("hap1", "hap2", "cov_cor", "cov_dev"), ["hap1", "hap2"], "left")
     m = m if pairs is None else m.join(pairs.select("hap1", "hap2").distinct(), ["hap1", "hap2"], "left_semi")
-    m = m.join(pair_alignment(scores, m.select("hap1", "hap2")), ["hap1", "hap2"])
+    m = _settled(m)  # it is read several times from here on
+    m = _settled(m.join(pair_alignment(scores, m.select("hap1", "hap2")), ["hap1", "hap2"]))
     ranked = composite_rank(m, ["cov_cor", "aln_score", "aln_long_prop"], ["cov_dev"]).withColumn("rank", 2 * F.col("rank"))
     return ranked.select("hap1", "hap2", "cov_cor", "cov_dev", "cov_cosine", "hap_ll", "aln_score", "rank", "aln_long_prop").orderBy("rank", "hap1", "hap2")
 

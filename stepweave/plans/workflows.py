@@ -5,11 +5,13 @@ nodes: the node table of locus.annotate_nodes with seq; edges: src, dst, ord; st
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.operators import calls, copynumber, fusions, haplotypes, locus, paths, variants
-from stepweave.operators.graph import _settled
+from stepweave.operators import calls, copynumber, fusions, haplotypes, locus, paths, threading, variants
+from stepweave.operators.graph import _settled, small
 
 
 def subread_steps(steps: DataFrame, groups: DataFrame, least: int = 0, on_walk: bool = False) -> DataFrame:
@@ -65,45 +67,52 @@ def copy(steps: DataFrame, aligned: DataFrame) -> DataFrame:
     return one.crossJoin(F.broadcast(two))  # one row each
 
 
+def _observed(steps: DataFrame, groups: DataFrame, settings: list[dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Settings (name, read_len, read_support, modules, method, marker_support), steps of subreads (with read_len) and observations (with name)."""
+    spark = steps.sparkSession
+    kinds = {"name": "string", "read_len": "int", "read_support": "int", "modules": "int", "method": "string", "marker_support": "double"}
+    table = _settled(spark.createDataFrame([tuple(s[k] for k in kinds) for s in settings], ", ".join(f"{k} {t}" for k, t in kinds.items())))
+    lengths = sorted({s["read_len"] for s in settings})
+    subs = _settled(reduce(DataFrame.unionByName, (subread_steps(steps, groups, n).withColumn("read_len", F.lit(n)) for n in lengths)))
+    module = subs.filter(F.col("group") == "module").select("read_len", F.col("path_id").alias("id"), "pos", "node", "class")
+    each = module.join(small(table.select("read_len", "read_support").distinct()), "read_len")
+    seen = haplotypes.observations(each, "read_support", ["read_len", "read_support"])
+    return table, subs, _settled(seen.join(small(table), ["read_len", "read_support"]))
+
+
 def diplotype(steps: DataFrame, nodes: DataFrame, edges: DataFrame, settings: list[dict]) -> tuple[DataFrame, DataFrame]:
     """Stats of the candidate pairs, best first, and the candidates' paths (hap, path); settings are those of haplotypes.sweep().
 
-    Each setting clusters the module subreads, threads the clusters into a pair, and all pairs are scored against all reads.
+    Each setting clusters the module subreads, threads the clusters into a pair, and all pairs are scored against all reads. The settings are
+    rows: every operator works on all of them at once. A setting whose subreads fall into fewer than two clusters gives no pair.
     """
-    spark = steps.sparkSession
     ends = {r["class"]: r["node"] for r in nodes.filter("class in ('cyc_l', 'cyc_r')").select("class", "node").collect()}  # two rows
-    groups = locus.node_groups(nodes, edges)
-    flanks = {"flankl": [], "buffer": [], "flankr": []}
-    for r in locus.flank_paths(nodes, edges).orderBy("group", "pos").collect():  # no more rows than the reference has nodes at one locus
-        flanks[r["group"]].append(r["node"])
+    groups, flanks = locus.node_groups(nodes, edges), locus.flank_paths(nodes, edges)
     default = edges.groupBy("src").agg(F.max_by("dst", "ord").alias("dst"))
-    found, pairs = {}, []
-    for s in settings:
-        subs = _settled(subread_steps(steps, groups, s["read_len"]))
-        module = subs.filter(F.col("group") == "module").select(F.col("path_id").alias("id"), "pos", "node", "class")
-        seen = _settled(haplotypes.observations(module, s["read_support"]))
-        of = haplotypes.cluster_by_em(seen, s["modules"]) if s["method"] == "em" else haplotypes.cluster_by_network(seen, s["modules"], s["marker_support"])
-        of = spark.createDataFrame(of.collect(), of.schema)  # a row for each subread of a locus
-        names = sorted(str(r["cluster"]) for r in of.select("cluster").distinct().collect())
-        if not names or len(names) > haplotypes.MOST_CLUSTERS:
-            continue
-        walks = haplotypes.consensus(module.select("id", "pos", "node"), of, ends["cyc_l"], ends["cyc_r"], default)
-        threads = subs.groupBy("read", "sub", F.col("path_id").alias("id")).agg(F.first("group").alias("group")).join(of, "id", "left")
-        own = F.coalesce(F.col("cluster").cast("string"), F.when(F.col("group") != "module", F.col("group")))
-        sure = F.when(F.col("cluster").isNull() & (F.col("group") != "module"), 1.0).otherwise(F.col("confidence"))
-        runs = haplotypes.adjacency(threads.select(F.col("read").alias("path_id"), "sub", own.alias("cluster"), sure.alias("confidence")))
-        best = haplotypes.best_diplotype(runs, names, bool(flanks["buffer"]))
-        pair = haplotypes.thread(best, walks, flanks)
-        named = {f"{s['name']}_{h}": p for h, p in pair.items()}
-        found |= named
-        pairs.append(sorted([*named, *named])[:: len(named)] if len(named) == 1 else sorted(named))
-    schema = steps.select(F.lit("").alias("hap"), F.array("node").alias("path")).schema
-    haps = spark.createDataFrame(list(found.items()), schema)
-    sized = haps.select("hap", F.explode("path").alias("node")).join(nodes.select("node", "size"), "node")
-    heavy = {r["node"] for r in nodes.filter("class <> 'none'").select("node").collect()}
+    table, subs, seen = _observed(steps, groups, settings)
+    by = ["name"]
+    one = haplotypes.cluster_by_em(seen.filter("method = 'em'"), "modules", by)
+    two = haplotypes.cluster_by_network(seen.filter("method <> 'em'"), "modules", "marker_support", by=by)
+    of = _settled(one.unionByName(two).withColumn("cluster", F.col("cluster").cast("string")))
+
+    rows = subs.join(small(table.select("name", "read_len")), "read_len").select("name", "read", "sub", F.col("path_id").alias("id"), "pos", "node", "group")
+    walks = threading.consensus(rows.filter("group = 'module'").select("name", "id", "pos", "node"), of, ends["cyc_l"], ends["cyc_r"], default, by)
+    threads = rows.groupBy("name", F.col("read").alias("path_id"), "sub", "id").agg(F.first("group").alias("group")).join(of, ["name", "id"], "left")
+    flank = F.col("group") != "module"
+    own = F.coalesce("cluster", F.when(flank, F.col("group")))
+    sure = F.when(F.col("cluster").isNull() & flank, 1.0).otherwise(F.col("confidence"))
+    runs = haplotypes.adjacency(threads.select("name", "path_id", "sub", own.alias("cluster"), sure.alias("confidence")), by)
+    buffer = not flanks.filter("group = 'buffer'").isEmpty()
+    best = _settled(threading.best_pairs(runs, of, by, buffer))
+    haps = threading.thread(best, walks, flanks, by)
+    haps = _settled(haps.select("name", F.concat_ws("_", "name", "hap").alias("hap"), "path"))
+    pairs = haps.groupBy("name").agg(F.min("hap").alias("hap1"), F.max("hap").alias("hap2"))
+
+    sized = haps.select("hap", F.explode("path").alias("node")).join(small(nodes.select("node", "size")), "node")
+    heavy = {r["node"] for r in nodes.filter("class <> 'none'").select("node").collect()}  # nodes of one locus
+    found = {r["hap"]: list(r["path"]) for r in haps.collect()}  # two for each setting
     scores = haplotypes.alignment_scores(steps, found, heavy)
-    wanted = spark.createDataFrame([(p[0], p[-1]) for p in pairs], "hap1 string, hap2 string")
-    return _settled(haplotypes.evaluate_pairs(steps.select("node", "size"), sized, _settled(scores), pairs=wanted)), haps
+    return _settled(haplotypes.evaluate_pairs(steps.select("node", "size"), sized, _settled(scores), pairs=pairs)), haps.select("hap", "path")
 
 
 def surject(steps: DataFrame, nodes: DataFrame, edges: DataFrame, haps: dict[str, list]) -> DataFrame:
