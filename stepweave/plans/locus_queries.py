@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepweave.operators import copynumber, fusions, haplotypes, locus, order, paths, variants, views
+from stepweave.operators import bisection, copynumber, fusions, haplotypes, locus, order, paths, variants, views
 from stepweave.operators.graph import _settled
 from stepweave.plans.adapter import INTERVALS_SQL, READS_SQL, STEPS_SQL, read, reads, spans, steps
 from stepweave.sources import expand_alignments
@@ -137,6 +137,20 @@ def _brand_loci(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return nodes, out.join(p.select("locus", F.col("r").alias("to"), F.col("node").alias("dst")), ["locus", "to"]).select("locus", "src", "dst", "ord")
 
 
+def _brand_defaults(s: SparkSession, d: str) -> DataFrame:
+    """The default successor of each part within its brand's locus; what haplotypes and the reference make of a part comes from its key and size."""
+    _, edges = _brand_loci(s, d)
+    nodes = read(s, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 3).alias("ref"), (F.col("p_partkey") % 5).alias("c1"), (F.col("p_size") % 4).alias("c2"))
+    return bisection.default_successors(nodes, edges)
+
+
+def _event_paths(s: SparkSession, d: str) -> DataFrame:
+    """Paths from a sign-up to an error over kinds of events that follow each other often."""
+    kinds = steps(s, d).withColumn("node", F.substring_index("node", "_", 1))
+    found = bisection.cluster_paths(paths.edge_support(kinds), 20, 3, start="signup", end="error")
+    return found.select(F.array_join("path", ">").alias("path"), "support")
+
+
 def _groups(s: SparkSession, d: str) -> DataFrame:
     nodes, edges = _brand_loci(s, d)
     return locus.node_groups(nodes, edges, ["locus"])
@@ -183,6 +197,14 @@ def add(register, s_sql: str = STEPS_SQL) -> None:
   cuts as (select *, case when pos > 0 and (class = 'cyc_l' or coalesce(lag(class) over (partition by path_id order by pos), '') = 'cyc_r') then 1 else 0 end as cut from kept),
   numbered as (select *, sum(cut) over (partition by path_id order by pos) as sub from cuts)
 ==== select path_id, sub, coalesce(arg_min(label, pos) filter (label is not null), 'none') as "group", count(*) as n from numbered group by 1, 2""", "path_id:i sub:i group n:i")
+    register("default_successors", _brand_defaults, LOCI.partition("modes(")[0].rstrip().rstrip(",") + """, kinds as (select p_partkey as node, p_size % 3 as ref, p_partkey % 5 + p_size % 4 as c from part),
+  links as (select tos.node as src, b.node as dst, ord, ref, c from tos join nodes_ b on b.locus = tos.locus and b.r = tos.t join kinds k on k.node = b.node),
+  kept as (select src, list_reduce(list({'dst': dst, 'ref': ref, 'c': c} order by ord), lambda x, y: case when (y.ref > 0 and y.c > x.c) or y.ref > x.ref then y else x end) as best from links group by 1)
+==== select src, best.dst as dst from kept""", "src:i dst:i")
+    register("cluster_paths", _event_paths, "recursive! " + s_sql + """, e as (select split_part(node, '_', 1) as src, split_part(lead(node) over (partition by path_id order by pos), '_', 1) as dst from steps),
+  n as (select src, dst, count(*)::bigint as n from e where dst is not null and dst <> 'signup' and src <> 'error' group by 1, 2 having count(*) >= 20),
+  w as (select concat('signup>', dst) as path, dst, n as support, 1 as k from n where src = 'signup' and dst <> 'error' union all select concat(path, '>', n.dst), n.dst, support + n, k + 1 from w join n on n.src = w.dst where k <= 3 and w.dst <> 'error')
+==== select path, support from w where dst = 'error'""", "path support:i")
     register("module_adjacency", _adjacency, subs + "==== select run, count(*) as n from runs where k > 1 group by 1", "run n:i")
     register("copy_number_coverage", _copy_from_coverage, READS_SQL + """, kinds as (select p_partkey as node, case when p_partkey % 5 = 0 then 'ref' when p_partkey % 5 < 3 then 'none' else 'c1' end as class from part),
   t as (select *, unnest(range(start // 50, (stop - 1) // 50 + 1)) as b from reads where stop > start),

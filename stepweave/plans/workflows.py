@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.operators import calls, copynumber, fusions, haplotypes, locus, paths, threading, variants
+from stepweave.operators import bisection, calls, copynumber, fusions, haplotypes, locus, paths, threading, variants
 from stepweave.operators.graph import _settled, small
 
 
@@ -115,6 +115,37 @@ def diplotype(steps: DataFrame, nodes: DataFrame, edges: DataFrame, settings: li
     return _settled(haplotypes.evaluate_pairs(steps.select("node", "size"), sized, _settled(scores), pairs=pairs)), haps.select("hap", "path")
 
 
+def original(steps: DataFrame, nodes: DataFrame, edges: DataFrame, least: int = 3, most_parts: int = 50, most_clusters: int = 3, per: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Stats of pairs of candidate haplotypes, best first, and the candidates' paths (hap, path), by bisection of the subreads.
+
+    Parts of the module subreads are candidate modules; each subread belongs to those whose consensus it aligns with almost best (over 0.98 of
+    the best score). Paths through the graph of parts, from flank to flank, are the candidates, and all their pairs are scored.
+    """
+    ends = {r["class"]: r["node"] for r in nodes.filter("class in ('cyc_l', 'cyc_r')").select("class", "node").collect()}  # two rows
+    default, flanks = _settled(bisection.default_successors(nodes, edges)), bisection.outer_flanks(nodes, edges)
+    subs = _settled(subread_steps(steps, locus.node_groups(nodes, edges)))
+    module = subs.filter(F.col("group") == "module").select(F.col("path_id").alias("id"), "pos", "node")
+    _, parts, _ = bisection.candidates(module, default, ends["cyc_l"], ends["cyc_r"], least, most_parts)
+    parts = parts.withColumn("part", F.concat(F.lit("p"), "part"))
+    found = {r["part"]: list(r["path"]) for r in parts.collect()}  # most_parts rows at most
+    scores = _settled(haplotypes.alignment_scores(module.withColumnRenamed("id", "path_id"), found, set()))
+    best = scores.groupBy("read").agg(F.max("score").alias("best"))
+    of = scores.join(best, "read").filter(F.col("score") > 0.98 * F.col("best")).select(F.col("read").alias("id"), F.col("hap").alias("cluster"))
+    lines = subs.groupBy("read", "sub", F.col("path_id").alias("id")).agg(F.first("group").alias("group"))
+    links = bisection.cluster_edges(lines, of)
+    chosen = bisection.top_by_support(bisection.cluster_paths(links, least, most_clusters), per)
+    tokens = chosen.select(F.array_join("path", "_").alias("hap"), F.posexplode("path").alias("place", "token"))
+    flank = flanks.groupBy(F.col("group").alias("token")).agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("f")).select("token", F.transform("f", lambda x: x["node"]).alias("nodes"))
+    pieces = parts.select(F.col("part").alias("token"), F.col("path").alias("nodes")).unionByName(flank)
+    rows = tokens.join(small(pieces), "token", "left").groupBy("hap").agg(F.array_sort(F.collect_list(F.struct("place", "nodes"))).alias("w"))
+    haps = _settled(rows.select("hap", F.flatten(F.transform(F.filter("w", lambda x: x["nodes"].isNotNull()), lambda x: x["nodes"])).alias("path")))
+    sized = haps.select("hap", F.explode("path").alias("node")).join(small(nodes.select("node", "size")), "node")
+    whole = {r["hap"]: list(r["path"]) for r in haps.collect()}  # `per` for each number of clusters
+    heavy = {r["node"] for r in nodes.filter("class <> 'none'").select("node").collect()}  # nodes of one locus
+    aligned = _settled(haplotypes.alignment_scores(steps, whole, heavy))
+    return _settled(haplotypes.evaluate_pairs(steps.select("node", "size"), sized, aligned)), haps
+
+
 def surject(steps: DataFrame, nodes: DataFrame, edges: DataFrame, haps: dict[str, list]) -> DataFrame:
     """sread, read, start, end, haplotype, module of module subreads of reads aligned to a diplotype; steps has read_pos."""
     found = locus.node_groups(nodes, edges)
