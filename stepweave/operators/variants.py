@@ -19,23 +19,47 @@ from stepweave.operators.paths import by_path, local_copy
 DEPTH = 20  # nodes of a reference traversal that is still followed
 
 
-def alleles(nodes: DataFrame, edges: DataFrame, near: int = 50) -> DataFrame:
+def _region_steps(nodes: DataFrame, edges: DataFrame, near: int) -> tuple[DataFrame, DataFrame]:
+    """Edges at, dst within one region (rnode), and edges start, at, dst out of it to where an allele may end; only of nodes from which an end can be reached.
+
+    Which nodes lead to an end is found backwards from the ends, before any walk is made: a node is of one region, so a mark for each node will do.
+    """
+    own = nodes.select("node", "rnode", F.col("class").alias("kind"), F.col("rpos_min").alias("lo"), F.col("rpos_max").alias("hi"), "size")
+    at, dst, first = (own.select(*(F.col(c).alias(f"{p}_{c}") for c in own.columns)) for p in ("at", "dst", "first"))
+    ways = edges.select(F.col("src").alias("at_node"), F.col("dst").alias("dst_node")).join(at, "at_node").join(dst, "dst_node")
+    ways = ways.select(F.col("at_node").alias("at"), F.col("dst_node").alias("dst"), F.col("at_rnode").alias("region"), "dst_rnode", "dst_kind", "dst_lo", "dst_hi")
+    begun = edges.select(F.col("src").alias("at"), F.col("dst").alias("dst_node")).join(dst, "dst_node").select("at", F.col("dst_node").alias("dst"), F.col("at").alias("region"), "dst_rnode", "dst_kind", "dst_lo", "dst_hi")
+    every = _settled(ways.unionByName(begun).filter("region is not null").distinct())  # a walk is in the region of its start, also at the start itself
+    inside = F.col("dst_rnode").eqNullSafe(F.col("region"))
+    gap = F.least(*(F.abs(F.col(f"dst_{c}") - F.col(f"first_{r}") - F.col("first_size")) for c, r in (("lo", "lo"), ("hi", "hi"))))
+    ends = every.filter(~inside & (F.col("dst_kind") == "none")).join(first.filter("first_kind = 'none'"), F.col("region") == F.col("first_node")).filter(gap < near)
+    ends = _settled(ends.select(F.col("region").alias("start"), "at", "dst").distinct())
+    within = _settled(every.filter(inside).select("region", "at", "dst"))
+    live = _settled(ends.select(F.col("start").alias("region"), "at").distinct())
+    front = live
+    while not front.isEmpty():
+        back = within.join(front.withColumnRenamed("at", "dst"), ["region", "dst"]).select("region", "at").distinct()
+        front = _settled(back.join(live, ["region", "at"], "left_anti"))
+        live = _settled(live.unionByName(front))
+    return within.join(live.withColumnRenamed("at", "dst"), ["region", "dst"], "left_semi").select(F.col("region").alias("start"), "at", "dst"), ends
+
+
+def alleles(nodes: DataFrame, edges: DataFrame, near: int = 50, most: int | None = None) -> DataFrame:
     """variant, alt: walks that leave a none node, pass nodes of its region (rnode) and end at a none node beyond.
 
     Either position of the end must lie less than `near` bases from the start's end. A walk does not pass a node twice.
-    The frontier is a table; a round adds one node to each walk, and the rounds end when no walk goes on.
+    The frontier is a table; a round adds one node to each walk, and the rounds end when no walk goes on. Only walks from which such an end can
+    still be reached go on. More than `most` walks in a round, if that is given, are an error: where k nodes of a region are all joined, there are about e k! of them.
     """
-    step = edges.join(nodes.select(F.col("node").alias("dst"), "rnode", F.col("class").alias("kind"), F.col("rpos_min").alias("lo"), F.col("rpos_max").alias("hi")), "dst")
-    step = _settled(step.select(F.col("src").alias("at"), "dst", "rnode", "kind", "lo", "hi"))
-    front = nodes.filter("class = 'none'").select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"), "size", "rpos_min", "rpos_max")
-    gap = F.least(F.abs(F.col("lo") - F.col("rpos_min") - F.col("size")), F.abs(F.col("hi") - F.col("rpos_max") - F.col("size")))
+    within, ends = (_settled(t) for t in _region_steps(nodes, edges, near))
+    front = nodes.filter("class = 'none'").select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"))
     found = []
     while True:
-        on = front.join(step, "at")
-        inside = F.col("rnode").eqNullSafe(F.col("start"))
         longer = F.concat("path", F.array("dst"))
-        found.append(on.filter(~inside & (F.col("kind") == "none") & (F.size("path") > 1) & (gap < near)).select(longer.alias("alt")))
-        front = _settled(on.filter(inside & ~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("at"), longer.alias("path"), "size", "rpos_min", "rpos_max"))
+        found.append(front.filter("size(path) > 1").join(ends, ["start", "at"]).select(longer.alias("alt")))
+        front = _settled(front.join(within, ["start", "at"]).filter(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("at"), longer.alias("path")))
+        if most is not None and front.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} walks are open at once")
         if front.isEmpty():
             break
     return reduce(DataFrame.unionByName, found).distinct().select(F.array_join(F.col("alt").cast("array<string>"), "_").alias("variant"), "alt")
@@ -60,19 +84,37 @@ def described(variants: DataFrame, nodes: DataFrame) -> DataFrame:
     return variants.join(rows, "variant")
 
 
+def _to_stops(variants: DataFrame, step: DataFrame, depth: int) -> DataFrame:
+    """stop, copy, at, left: the least number of steps, up to depth, from a node to a stop over nodes that a traversal of that copy may pass."""
+    front = _settled(variants.select("copy", F.element_at("alt", -1).alias("stop")).distinct().select("stop", "copy", F.col("stop").alias("at"), F.lit(0).alias("left")))
+    known = front
+    for k in range(1, depth + 1):
+        back = front.join(step.select(F.col("at").alias("src"), F.col("dst").alias("at"), "kind"), "at").filter((F.col("at") == F.col("stop")) | (F.col("kind") == "none") | (F.col("kind") == F.col("copy")))
+        back = back.select("stop", "copy", F.col("src").alias("at")).distinct().withColumn("left", F.lit(k))
+        front = _settled(back.join(known, ["stop", "copy", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        known = _settled(known.unionByName(front))
+    return known
+
+
 def reference_traversals(variants: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """variant, ref: walks from alt's first to its last node over none nodes and nodes of the variant's copy, of at most depth + 1 nodes.
 
-    variants: variant, alt, copy. Walks that end early or grow longer are dropped; the frontier is a table.
+    variants: variant, alt, copy. The frontier is a table that holds only walks which can still reach their end within the depth, by the number
+    of steps that each node is away from it.
     """
     step = _settled(edges.join(nodes.select(F.col("node").alias("dst"), F.col("class").alias("kind")), "dst").select(F.col("src").alias("at"), "dst", "kind"))
+    away = _to_stops(variants, step, depth).withColumnRenamed("at", "dst")
     first = F.element_at("alt", 1)
     front = variants.select("variant", "copy", F.element_at("alt", -1).alias("stop"), first.alias("at"), F.array(first).alias("path"))
     found = []
-    for _ in range(depth):
+    for k in range(1, depth + 1):
         on = front.join(step, "at").withColumn("longer", F.concat("path", F.array("dst")))
         found.append(on.filter(F.col("dst") == F.col("stop")).select("variant", F.col("longer").alias("ref")))
-        front = _settled(on.filter((F.col("dst") != F.col("stop")) & ((F.col("kind") == "none") | (F.col("kind") == F.col("copy")))).select("variant", "copy", "stop", F.col("dst").alias("at"), F.col("longer").alias("path")))
+        on = on.filter((F.col("dst") != F.col("stop")) & ((F.col("kind") == "none") | (F.col("kind") == F.col("copy"))))
+        on = on.join(away, ["stop", "copy", "dst"]).filter(F.col("left") <= depth - k)
+        front = _settled(on.select("variant", "copy", "stop", F.col("dst").alias("at"), F.col("longer").alias("path")))
         if front.isEmpty():
             break
     return reduce(DataFrame.unionByName, found).distinct()
