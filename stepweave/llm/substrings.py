@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import functools
 import gc
 import hashlib
 
@@ -20,40 +22,56 @@ BLOCK = 1 << 20  # bytes of contexts that are settled together
 FLUSH = 1 << 18  # rows that a task gathers before it settles repeats among them
 
 
+def _before(text: bytes, i: int, m: int, j: int, k: int) -> int:
+    """Below, at or above 0 as text[i : i + m] stands before, equals or stands after text[j : j + k]; pieces that double in size are compared."""
+    at, step, both = 0, 32, min(m, k)
+    while at < both:
+        end = min(at + step, both)
+        one, two = text[i + at : i + end], text[j + at : j + end]
+        if one != two:
+            return -1 if one < two else 1
+        at, step = end, 2 * step
+    return m - k
+
+
 def lyndon_suffix_array(text: bytes) -> list[int]:
     """All suffixes of text in ascending order.
 
     From the right, each suffix's longest Lyndon prefix grows over the next smaller suffix's for as long as that one
-    is greater; suffixes with equal prefixes form a group, and groups stand in their prefixes' order. Then, in
-    ascending order, each suffix that is placed places those that it ends the prefix of, found over previous-smaller
-    pointers, into the next place of their groups: no ranks are made anew. Linear but for sorting the groups.
+    is greater; suffixes with equal prefixes form a group, and groups stand in their prefixes' order. A prefix is
+    known by its first part and the last prefix it grew over, a pair of numbers: equal prefixes grew alike, and no
+    bytes are kept. Then, in ascending order, each suffix that is placed places those that it ends the prefix of,
+    found over previous-smaller pointers, into the next place of their groups: no ranks are made anew. Memory is
+    linear, and so is the time but for comparing prefixes, while they grow and when the groups are sorted: prefixes
+    that are long and alike cost what they have in common.
     """
     n = len(text)
-    size, group_of, groups = [0] * n, [0] * n, {}
+    size, group_of, names = [0] * n, [0] * n, {}
     for i in range(n - 1, -1, -1):
         j = i + 1
-        word = text[i:j]
+        word = names.setdefault(text[i] - 256, len(names))
         while j < n:
-            k = j + size[j]
-            if word < text[j:k]:
-                word, j = text[i:k], k
+            m, k = j - i, size[j]
+            if text[i:j] < text[j : j + k] if m < 64 and k < 64 else _before(text, i, m, j, k) < 0:
+                word, j = names.setdefault((word, group_of[j]), len(names)), j + k
             else:
                 break
-        size[i] = j - i
-        group_of[i] = groups.setdefault(word, len(groups))
+        size[i], group_of[i] = j - i, word
+    groups: dict[int, int] = {}
+    for i, g in enumerate(group_of):
+        groups.setdefault(g, i)
+    order = functools.cmp_to_key(lambda g, h: _before(text, groups[g], size[groups[g]], groups[h], size[groups[h]]))
     previous, stack = [-1] * n, []  # previous smaller suffix: the nearest one to the left whose prefix reaches beyond
     for i in range(n):
         while stack and stack[-1] + size[stack[-1]] <= i:
             stack.pop()
         previous[i] = stack[-1] if stack else -1
         stack.append(i)
-    count = [0] * len(groups)
-    for g in group_of:
-        count[g] += 1
-    free, at = [0] * len(groups), 0
-    for word in sorted(groups):
-        free[groups[word]] = at
-        at += count[groups[word]]
+    count = collections.Counter(group_of)
+    free, at = {}, 0
+    for word in sorted(groups, key=order):
+        free[word] = at
+        at += count[word]
     out = [-1] * n
     for placed in range(-1, n):
         s = n if placed < 0 else out[placed]
