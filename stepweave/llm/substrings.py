@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import collections
 import functools
 import gc
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -46,33 +46,35 @@ def lyndon_suffix_array(text: bytes) -> list[int]:
     that are long and alike cost what they have in common.
     """
     n = len(text)
-    size, group_of, names = [0] * n, [0] * n, {}
+    size, group_of, names = array("i", [0]) * n, array("i", [0]) * n, {}
+    wide = n + n + 257  # more than there are names
     for i in range(n - 1, -1, -1):
         j = i + 1
         word = names.setdefault(text[i] - 256, len(names))
         while j < n:
             m, k = j - i, size[j]
             if text[i:j] < text[j : j + k] if m < 64 and k < 64 else _before(text, i, m, j, k) < 0:
-                word, j = names.setdefault((word, group_of[j]), len(names)), j + k
+                word, j = names.setdefault(word * wide + group_of[j], len(names)), j + k
             else:
                 break
         size[i], group_of[i] = j - i, word
-    groups: dict[int, int] = {}
-    for i, g in enumerate(group_of):
-        groups.setdefault(g, i)
-    order = functools.cmp_to_key(lambda g, h: _before(text, groups[g], size[groups[g]], groups[h], size[groups[h]]))
-    previous, stack = [-1] * n, []  # previous smaller suffix: the nearest one to the left whose prefix reaches beyond
+    count, place = array("i", [0]) * len(names), array("i", [-1]) * len(names)
+    del names
+    for i in range(n):
+        count[group_of[i]] += 1
+        place[group_of[i]] = i
+    previous, stack = array("i", [-1]) * n, []  # previous smaller suffix: the nearest one to the left whose prefix reaches beyond
     for i in range(n):
         while stack and stack[-1] + size[stack[-1]] <= i:
             stack.pop()
         previous[i] = stack[-1] if stack else -1
         stack.append(i)
-    count = collections.Counter(group_of)
-    free, at = {}, 0
-    for word in sorted(groups, key=order):
+    order = functools.cmp_to_key(lambda g, h: _before(text, place[g], size[place[g]], place[h], size[place[h]]))
+    free, at = array("i", [0]) * len(count), 0
+    for word in sorted((g for g in range(len(count)) if count[g]), key=order):
         free[word] = at
         at += count[word]
-    out = [-1] * n
+    out = array("i", [-1]) * n
     for placed in range(-1, n):
         s = n if placed < 0 else out[placed]
         p = s - 1
@@ -81,10 +83,10 @@ def lyndon_suffix_array(text: bytes) -> list[int]:
             out[free[g]] = p
             free[g] += 1
             p = _left(p, previous, size, s)
-    return out
+    return out.tolist()
 
 
-def _left(p: int, previous: list[int], size: list[int], s: int) -> int:
+def _left(p: int, previous: array, size: array, s: int) -> int:
     """The next suffix to the left of p whose Lyndon prefix ends at s, or -1."""
     q = p - 1
     while q >= 0 and q + size[q] < s:
