@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepweave import functions as fn
 from stepweave.operators import calls, copynumber, diplotype, graph, haplotypes, intervals, locus, paths, variants
-from stepweave.plans import locus_queries
+from stepweave.plans import haplotype_queries, locus_queries
 from stepweave.plans.adapter import INTERVALS_SQL, READS_SQL, STEPS_SQL, read, reads, spans, steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,4 @@ register("path_parse", lambda s, d: _texts(s, d).select(fn.mostly_reverse(F.col(
 register("revcomp", lambda s, d: read(s, d, "part").select("p_partkey", fn.reverse_complement(F.translate(F.upper("p_name"), "BDEFHIJKLMOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTA")).alias("seq"), fn.preview(F.col("p_name")).alias("short")), "====select p_partkey, translate(reverse(translate(upper(p_name), 'BDEFHIJKLMOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTA')), 'ACGTN', 'TGCAN') as seq, case when length(p_name) < 10 then p_name else concat(substring(p_name, 1, 10), '+') end as short from part", "p_partkey:i seq short")
 
 locus_queries.add(register)
+haplotype_queries.add(register)
