@@ -66,6 +66,11 @@ def markers(own: DataFrame, walks: DataFrame, least: int) -> DataFrame:
     return there.join(sites, ["part", "src"]).groupBy("part", F.col("dst").alias("node")).agg(F.max(F.get("ns", F.lit(1))).alias("n"))
 
 
+def co_occurrence(held: DataFrame) -> DataFrame:
+    """part, a < b, w: how many marker nodes two subreads of a part both hold. held: part, id, node, each once."""
+    return held.withColumnRenamed("id", "a").join(held.withColumnRenamed("id", "b"), ["part", "node"]).filter("a < b").groupBy("part", "a", "b").agg(F.count(F.lit(1)).alias("w"))
+
+
 def bisect(edges: DataFrame) -> DataFrame:
     """part, id, side (0 or 1) of weighted edges (part, a, b, w), each pair once: two halves of even size, few edges between them.
 
@@ -120,8 +125,7 @@ def candidates(steps: DataFrame, default: DataFrame, start, end, least: int = 3,
             if count > most or found.isEmpty():
                 break
             held = _settled(rows.join(found.select("part", "node"), ["part", "node"], "left_semi").select("part", "id", "node").distinct())
-            pairs = held.withColumnRenamed("id", "a").join(held.withColumnRenamed("id", "b"), ["part", "node"]).filter("a < b").groupBy("part", "a", "b").agg(F.count(F.lit(1)).alias("w"))
-            sides = bisect(_settled(pairs))
+            sides = bisect(_settled(co_occurrence(held)))
             rows = _settled(rows.join(sides, ["part", "id"]).select(F.concat("part", F.col("side").cast("string")).alias("part"), "id", "pos", "node"))
             if rows.isEmpty():
                 break

@@ -25,3 +25,8 @@ def running(rows: DataFrame, order: list[str | Column], value: str | Column | No
 def longest(rows: DataFrame, n: int, order: list[str | Column]) -> DataFrame:
     """The first n rows in `order`; n may grow with the table."""
     return running(rows, order).filter(F.col("run") <= n).drop("run")
+
+
+def kept_in_order(rows: DataFrame, order: list[str | Column], kept: DataFrame, on: str) -> DataFrame:
+    """Rows of which `on` is among kept's, with place: from 1, in the order that they have among all rows."""
+    return running(rows.join(kept.select(on).distinct(), on, "left_semi"), order).withColumnRenamed("run", "place")

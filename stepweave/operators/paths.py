@@ -184,3 +184,11 @@ def contains_run(steps: DataFrame, run: list[str]) -> DataFrame:
     for i, c in enumerate(run):
         hit = hit & (F.lead("class", i).over(by_path()) == c) if i else F.col("class") == c
     return steps.withColumn("hit", hit).groupBy("path_id").agg(F.count_if("hit").alias("n")).filter("n > 0")
+
+
+def position_union(*tables: DataFrame) -> DataFrame:
+    """read, positions: the positions of all tables (read, pos) together, ascending, those that several tables hold as often as they do."""
+    rows = tables[0].select("read", "pos")
+    for t in tables[1:]:
+        rows = rows.unionByName(t.select("read", "pos"))
+    return rows.groupBy("read").agg(F.array_sort(F.collect_list("pos")).alias("positions"))

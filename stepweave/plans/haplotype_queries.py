@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepweave.operators import diplotype, haplotypes, paths, threading, variants, views
+from stepweave.operators import bisection, diplotype, guess, haplotypes, order, paths, threading, variants, views
 from stepweave.plans.adapter import STEPS_SQL, read, steps
 
 BASES = ("A", "C", "G", "T")
@@ -111,6 +111,19 @@ SUPPORT = STEPS_SQL + """, c as (select *, lead(node) over w as after, sum((clas
   found as (select src, dst, case when right(dst, 1)::int % 2 = 0 then 'c1' else 'c2' end as copy from (select node as src, after as dst from c where after is not null group by 1, 2 having count(*) >= 3))"""
 
 
+def _in_order(s: SparkSession, d: str) -> DataFrame:
+    """Orders with a returned piece, in the order of all orders by price."""
+    rows = read(s, d, "orders").select(F.col("o_orderkey").alias("read"), "o_totalprice")
+    kept = read(s, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("read"))
+    return order.kept_in_order(rows, [F.desc("o_totalprice"), "read"], kept, "read").select("read", "place")
+
+
+def _shared_markers(s: SparkSession, d: str) -> DataFrame:
+    """Module-specific nodes that two users both pass, users in three parts."""
+    held = steps(s, d).filter("class in ('c1', 'c2')").select((F.col("path_id") % 3).alias("part"), F.col("path_id").alias("id"), "node").distinct()
+    return bisection.co_occurrence(held)
+
+
 def _track(s: SparkSession, d: str) -> DataFrame:
     """Suppliers as genes along two modules whose nodes are the parts."""
     k, n = F.col("s_suppkey"), F.col("p_partkey")
@@ -146,3 +159,8 @@ def add(register) -> None:
     register("gene_track", lambda s, d: _track(s, d).select("id", "nstart", "nend", "module", "pstart", "pend").fillna(0), TRACK + "==== select id, coalesce(nstart, 0) as nstart, coalesce(nend, 0) as nend, module, pstart, pend from track", "id:i nstart:i nend:i module pstart:f pend:f")
     register("transcription_starts", lambda s, d: views.transcription_starts(_track(s, d)).fillna(0), TRACK + "==== select gene_name, module, coalesce(case when strand = '+' then nstart else nend end, 0) as node, case when strand = '+' then pstart else pend end as pos from track", "gene_name module node:i pos:f")
     register("allele_reads", _allele_reads, SUPPORT + "==== select concat(src, '>', dst) as variant, count(distinct path_id) filter (after = dst and dst <> 'view_0') as n_alt, count(distinct path_id) filter (after = 'view_0' and dst <> 'view_0') as n_ref from found left join here on here.node = src and here.copy = found.copy group by 1", "variant n_alt:i n_ref:i")
+    visits = lambda s, d, kind: steps(s, d).filter(F.col("class") == kind).select(F.col("path_id").alias("read"), "pos")
+    register("position_union", lambda s, d: paths.position_union(visits(s, d, "c1"), visits(s, d, "c2"), visits(s, d, "cyc_l")).select("read", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")), STEPS_SQL + """, u as (select path_id as read, pos from steps where class in ('c1', 'c2', 'cyc_l')) ==== select read, string_agg(pos, ',' order by pos) as positions from u group by 1""", "read:i positions")
+    register("reads_in_order", _in_order, "o as (select o_orderkey as read, row_number() over (order by o_totalprice desc, o_orderkey) as place from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')) ==== select * from o", "read:i place:i")
+    register("shared_markers", _shared_markers, STEPS_SQL + """, h as (select distinct path_id % 3 as part, path_id as id, node from steps where class in ('c1', 'c2')) ==== select x.part, x.id as a, y.id as b, count(*) as w from h x join h y on x.part = y.part and x.node = y.node and x.id < y.id group by 1, 2, 3""", "part:i a:i b:i w:i")
+    register("module_guess", lambda s, d: guess.modules(steps(s, d)))

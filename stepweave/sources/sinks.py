@@ -76,6 +76,22 @@ def viz_read_rows(steps: DataFrame, nodes: DataFrame, every: bool = False) -> Da
     return rows.orderBy("path_id", "pos").select(F.col("path_id").alias("read"), "node", F.col("start_pos").alias("startpos"), F.col("end_pos").alias("endpos"), F.col("read_pos").alias("readpos"))
 
 
+def bin_rows(bins: DataFrame, width: int = 50) -> DataFrame:
+    """node, start, end, coverage of all bins (node, bin, coverage, and size of the node), in their order; end is the first place after a bin."""
+    start = F.col("bin") * width
+    return bins.orderBy("node", "bin").select("node", start.alias("start"), F.least(start + width, F.col("size")).alias("end"), "coverage")
+
+
+def edge_rows(edges: DataFrame) -> DataFrame:
+    """node, enode, side, coverage of neighbours (node, enode, side, n), in before out."""
+    return edges.orderBy("node", "side", "enode").select("node", "enode", "side", F.col("n").alias("coverage"))
+
+
+def record_rows(records: DataFrame) -> DataFrame:
+    """read, length, aligned, matches, dv, id of alignment records, in this order of columns."""
+    return records.select("read", "length", "aligned", "matches", "dv", "id")
+
+
 def stats_rows(records: DataFrame) -> DataFrame:
     """One row: median percentages of aligned and of matched bases over reads (read, length, aligned, matches), rounded to two places."""
     share = lambda c: F.round(100 * F.percentile(F.col(c) / F.col("length"), F.lit(0.5)), 2)
