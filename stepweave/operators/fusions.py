@@ -5,10 +5,12 @@ steps: path_id, pos, node, class of subreads. A candidate is (copy, node, dst):
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.operators.graph import _settled
 from stepweave.operators.paths import by_path, marker_windows, markers
 
 
@@ -54,28 +56,40 @@ def _weight(least: int):
     return number("reads_alt") + least * number("haps_alt")
 
 
-def choose(calls: DataFrame, near: DataFrame, least: int = 3) -> DataFrame:
+def choose(calls: DataFrame, near: DataFrame, least: int = 3, by: list[str] | None = None) -> DataFrame:
     """Candidates in order of support; reads and haplotypes that a chosen neighbour has used count no more, and enough have to be left.
 
-    calls: variant, alt, reads_alt, haps_alt. The choice is sequential, so a locus is one group: as many candidates as markers,
-    with the names of those that support them.
+    calls: by, variant, alt, reads_alt, haps_alt; near: by, node, near. `by` tells loci and samples apart. A candidate waits only for those before it
+    whose node is among its neighbours: in a round all that wait for none are decided, in as many rounds as the longest chain of neighbours has candidates.
     """
-    rows = calls.select("variant", F.element_at("alt", 1).cast("string").alias("node"), "reads_alt", "haps_alt").join(near.select(F.col("node").cast("string").alias("node"), F.col("near").cast("array<string>").alias("near")), "node", "left")
-    kinds = {c: calls.schema[c].dataType.simpleString() for c in ("reads_alt", "haps_alt")}
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict[str, dict] = {"reads_alt": {}, "haps_alt": {}}
-        out = []
-        as_list = lambda v: [] if v is None else list(v)
-        table = [{"variant": r.variant, "node": r.node, "near": set(as_list(r.near)), "reads_alt": as_list(r.reads_alt), "haps_alt": as_list(r.haps_alt)} for r in pdf.itertuples(index=False)]
-        for r in sorted(table, key=lambda r: (-len(r["reads_alt"]) - least * len(r["haps_alt"]), r["variant"])):
-            left = {c: [x for x in r[c] if not used[c].get(x, set()) & r["near"]] for c in used}
-            if len(left["reads_alt"]) + least * len(left["haps_alt"]) >= least:
-                for c in used:
-                    for x in left[c]:
-                        used[c].setdefault(x, set()).add(r["node"])
-                out.append((r["variant"], left["reads_alt"], left["haps_alt"]))
-        return pd.DataFrame(out, columns=["variant", "reads_alt", "haps_alt"])
-
-    kept = rows.groupBy(F.lit(0).alias("locus")).applyInPandas(greedy, f"variant string, reads_alt {kinds['reads_alt']}, haps_alt {kinds['haps_alt']}")
-    return calls.drop("reads_alt", "haps_alt").join(kept, "variant")
+    by = by or []
+    listed = lambda c: F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>"))
+    kinds = {c: calls.schema[c].dataType for c in ("reads_alt", "haps_alt")}
+    rows = calls.select(*by, "variant", F.element_at("alt", 1).cast("string").alias("node"), listed("reads_alt").alias("reads"), listed("haps_alt").alias("haps"))
+    rows = _settled(rows.withColumn("first", F.struct((-F.size("reads") - least * F.size("haps")).alias("w"), "variant")))
+    pairs = near.select(*by, F.col("node").cast("string").alias("node"), F.explode(F.col("near").cast("array<string>")).alias("other"))
+    pairs = _settled(rows.select(*by, "variant", "node", "first").join(pairs, [*by, "node"]).select(*by, "variant", "first", "other").distinct())
+    others = rows.select(*by, F.col("node").alias("other"), F.col("variant").alias("before"), F.col("first").alias("first2"))
+    waits = _settled(pairs.join(others, [*by, "other"]).filter("first2 < first").select(*by, "variant", "before").distinct())
+    names = _settled(rows.select(*by, "variant", F.explode(F.concat(F.transform("reads", lambda x: F.struct(F.lit("reads").alias("kind"), x.alias("name"))), F.transform("haps", lambda x: F.struct(F.lit("haps").alias("kind"), x.alias("name"))))).alias("n")).select(*by, "variant", "n.kind", "n.name"))
+    open_, used, chosen = _settled(rows.select(*by, "variant")), None, []
+    while not open_.isEmpty():
+        held = waits.join(open_.withColumnRenamed("variant", "before"), [*by, "before"], "left_semi").select(*by, "variant").distinct()
+        ready = _settled(open_.join(held, [*by, "variant"], "left_anti"))
+        left = names.join(ready, [*by, "variant"], "left_semi")
+        if used is not None:
+            taken = waits.join(used, [*by, "before"]).select(*by, "variant", "kind", "name").distinct()  # by those before it, not by all that are decided
+            left = left.join(taken, [*by, "variant", "kind", "name"], "left_anti")
+        left = _settled(left)
+        weight = F.count_if(F.col("kind") == "reads") + least * F.count_if(F.col("kind") == "haps")
+        enough = left.groupBy(*by, "variant").agg(weight.alias("w")).filter(F.col("w") >= least).select(*by, "variant")
+        kept = _settled(left.join(enough, [*by, "variant"], "left_semi"))
+        chosen.append(kept)
+        new = kept.select(*by, F.col("variant").alias("before"), "kind", "name")
+        used = _settled(new if used is None else used.unionByName(new))
+        open_ = _settled(open_.join(ready, [*by, "variant"], "left_anti"))
+    if not chosen:
+        return calls.limit(0)
+    of = lambda kind, c: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("name")))).cast(kinds[c]).alias(c)
+    lists = reduce(DataFrame.unionByName, chosen).groupBy(*by, "variant").agg(of("reads", "reads_alt"), of("haps", "haps_alt"))
+    return calls.drop("reads_alt", "haps_alt").join(lists, [*by, "variant"])

@@ -88,12 +88,18 @@ def follow(steps: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def exclusive_pairs(edges: DataFrame, reach: DataFrame) -> DataFrame:
-    """All pairs of edges that no walk passes both of: src1, dst1 < src2, dst2. reach: the whole closure, reachable(edges, None)."""
+    """All pairs of edges that no walk passes both of: src1, dst1 < src2, dst2. reach: the whole closure, reachable(edges, None).
+
+    Two edges exclude each other if neither one's end is or reaches the other's beginning. Ends that cannot reach a beginning are listed once, as
+    pairs of nodes; edges are joined to that list by equal nodes, so only pairs that pass the first test are made.
+    """
     e = _settled(edges.select("src", "dst").distinct())
     one, two = (e.select(F.col("src").alias(f"src{i}"), F.col("dst").alias(f"dst{i}")) for i in (1, 2))
-    pairs = one.join(two, F.expr("struct(src1, dst1) < struct(src2, dst2) and dst1 <> src2 and dst2 <> src1"))
-    r = reach.select(F.col("src").alias("f"), F.col("dst").alias("t"))
-    return pairs.join(r, F.expr("dst1 = f and src2 = t"), "left_anti").join(r, F.expr("dst2 = f and src1 = t"), "left_anti")
+    ends, begins = e.select(F.col("dst").alias("f")).distinct(), e.select(F.col("src").alias("t")).distinct()
+    apart = ends.crossJoin(small(begins)).filter("f <> t").join(reach.select(F.col("src").alias("f"), F.col("dst").alias("t")), ["f", "t"], "left_anti")
+    apart = _settled(apart)
+    pairs = one.join(apart.withColumnsRenamed({"f": "dst1", "t": "src2"}), "dst1").join(two, "src2").filter("struct(src1, dst1) < struct(src2, dst2)")
+    return pairs.join(apart.withColumnsRenamed({"f": "dst2", "t": "src1"}), ["dst2", "src1"], "left_semi").select("src1", "dst1", "src2", "dst2")
 
 
 def classify(counts: DataFrame, fold: int = 3) -> DataFrame:
