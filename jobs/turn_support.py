@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import config, log, main, settings, write
+from stepweave.operators import paths as operators
 
 WORDS = r"size(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0))"
 NODE = f"concat(coalesce(role, 'none'), '_', case when {WORDS} < 8 then 'short' when {WORDS} < 64 then 'middle' else 'long' end)"
@@ -23,24 +24,9 @@ EDGES = "src string, dst string, n long"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def new_edges(rows: DataFrame, path: str, pos: str, node: str) -> DataFrame:
-    """src, dst of each pair of steps that follow each other in a path, from a stream of rows; works on tables as well.
-
-    Rows without path or position are left out, and a null node is named none. A step that arrives twice counts once; two
-    different nodes at one position are two steps there.
-    """
-    steps = rows.select(F.expr(path).alias("path_id"), F.expr(pos).cast("long").alias("pos"), F.coalesce(F.expr(node).cast("string"), F.lit("none")).alias("node"))
-    steps = steps.filter("path_id is not null and pos is not null").dropDuplicates(["path_id", "pos", "node"])
-    before = steps.select("path_id", F.col("node").alias("src"), (F.col("pos") + 1).alias("pos"))
-    return before.join(steps.withColumnRenamed("node", "dst"), ["path_id", "pos"]).select("src", "dst")
-
-
-def support(counts: DataFrame) -> DataFrame:
-    """src, dst, n, share of src's edges, best (most edges, then least name) and kind, from counts of edges of many batches."""
-    n = counts.groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    total = n.groupBy("src").agg(F.sum("n").alias("total"), F.min(F.struct(-F.col("n"), F.col("dst").alias("dst"))).alias("top"))
-    table = n.join(total, "src").select("src", "dst", "n", (F.col("n") / F.col("total")).alias("share"), (F.col("dst") == F.col("top.dst")).alias("best"))
-    return table.withColumn("kind", F.substring_index("src", "_", 1))
+def steps_of(rows: DataFrame, path: str, pos: str, node: str) -> DataFrame:
+    """path_id, pos, node of rows, by SQL expressions; a null node is named none."""
+    return rows.select(F.expr(path).alias("path_id"), F.expr(pos).cast("long").alias("pos"), F.coalesce(F.expr(node).cast("string"), F.lit("none")).alias("node"))
 
 
 def run(spark: SparkSession, paths: str, out: str, path: str = "conv_id", pos: str = "turn", node: str = NODE, max_files: int = 64) -> DataFrame:
@@ -56,7 +42,8 @@ def run(spark: SparkSession, paths: str, out: str, path: str = "conv_id", pos: s
         place = paths.rstrip("/")
         pattern = f"{place[:-1]}[{place[-1]}]"  # a file stream takes a folder or a pattern; as a pattern, one file will do too
         stream = spark.readStream.schema(spark.read.parquet(paths).schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
-        query = new_edges(stream, path, pos, node).writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        edges = operators.neighbour_edges(steps_of(stream, path, pos, node))
+        query = edges.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     for progress in query.recentProgress:
         log.info("batch %d: read %d rows from %s", progress.batchId, progress.sources[0].numInputRows, paths)
@@ -64,7 +51,8 @@ def run(spark: SparkSession, paths: str, out: str, path: str = "conv_id", pos: s
         log.info("nothing new at %s", paths)
     # an empty table beside the batches, so that there is one to read whatever has arrived
     spark.createDataFrame([], EDGES).write.mode("overwrite").parquet(f"{out}/increments/batch=-1")
-    return write(support(spark.read.schema(EDGES).parquet(f"{out}/increments")), f"{out}/support", "kind", "support")
+    table = operators.ranked_successors(spark.read.schema(EDGES).parquet(f"{out}/increments"))
+    return write(table.withColumn("kind", F.substring_index("src", "_", 1)), f"{out}/support", "kind", "support")
 
 
 if __name__ == "__main__":

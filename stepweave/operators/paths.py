@@ -21,6 +21,23 @@ def edges(steps: DataFrame) -> DataFrame:
     return steps.select("path_id", "pos", F.col("node").alias("src"), F.lead("node").over(by_path()).alias("dst")).filter("dst is not null")
 
 
+def neighbour_edges(steps: DataFrame) -> DataFrame:
+    """src, dst of each pair of steps (path_id, pos, node) at neighbouring places of a path, by a join on the place: also for a stream, whose steps may arrive in any order.
+
+    A repeated step counts once; two nodes at one place are two steps there. Steps without path or place are left out.
+    """
+    own = steps.select("path_id", "pos", "node").filter("path_id is not null and pos is not null").dropDuplicates(["path_id", "pos", "node"])
+    before = own.select("path_id", F.col("node").alias("src"), (F.col("pos") + 1).alias("pos"))
+    return before.join(own.withColumnRenamed("node", "dst"), ["path_id", "pos"]).select("src", "dst")
+
+
+def ranked_successors(counts: DataFrame) -> DataFrame:
+    """src, dst, n, share (of src's transitions) and best (most transitions, then the least name), from counts (src, dst, n) that may come in parts."""
+    n = counts.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    total = n.groupBy("src").agg(F.sum("n").alias("total"), F.min(F.struct(-F.col("n"), F.col("dst").alias("dst"))).alias("top"))
+    return n.join(total, "src").select("src", "dst", "n", (F.col("n") / F.col("total")).alias("share"), (F.col("dst") == F.col("top.dst")).alias("best"))
+
+
 def edge_support(steps: DataFrame) -> DataFrame:
     """How often, and in how many paths, node dst follows node src."""
     return edges(steps).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path_id").alias("n_paths"))
