@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.operators import pairs as blocks
 from stepweave.operators.graph import _settled, follow, small
 
 TOP = 16  # nodes of each side that are looked at for an exchange
@@ -67,7 +68,14 @@ def markers(own: DataFrame, walks: DataFrame, least: int) -> DataFrame:
 
 
 def co_occurrence(held: DataFrame) -> DataFrame:
-    """part, a < b, w: how many marker nodes two subreads of a part both hold. held: part, id, node, each once."""
+    """part, a < b, w: how many marker nodes two subreads of a part both hold. held: part, id, node, each once.
+
+    Where most pairs share nodes they are compared in blocks (pairs.py), else by a join on the node.
+    """
+    held = _settled(held)
+    observed = held.select("part", "id", F.col("node").alias("marker"), F.lit(None).cast("string").alias("allele"))
+    if blocks.dense(observed, ["part"]):
+        return blocks.counted(blocks.members(observed, ["part"]), ["part"], same=False).withColumnRenamed("common", "w")
     return held.withColumnRenamed("id", "a").join(held.withColumnRenamed("id", "b"), ["part", "node"]).filter("a < b").groupBy("part", "a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
