@@ -183,14 +183,19 @@ def clipped(track: DataFrame, low: float, high: float, start: str = "pstart", en
 def gene_point_nodes(points: DataFrame, nodes: DataFrame, offset: int = 0) -> DataFrame:
     """id, node, module of points (id, at): the last node, by ord, that holds a point at its first position (c1), else at its second one (c2).
 
-    The point-in-range join is an equi-join on bins.
+    No pairs of points and nodes are made: a range is cut into aligned blocks of 1, 2, 4, ... positions, two of each size at most, each block keeps its last node,
+    and a point looks up the blocks that it lies in, one of each size.
     """
-    spot = lambda c: nodes.select(F.lit(0).alias("key"), F.col("ord").alias("id"), (F.col(c) + offset).alias("start"), (F.col(c) + offset + F.col("size") - 1).alias("end"))
-    own = points.select(F.lit(0).alias("key"), "id", F.col("at").alias("start"), F.col("at").alias("end"))
-    one = overlaps(own, spot("rpos_min"), 1 << 10).select(F.col("l_id").alias("id"), F.col("r_id").alias("ord"), F.lit("c1").alias("module"))
-    two = overlaps(own, spot("rpos_max"), 1 << 10).select(F.col("l_id").alias("id"), F.col("r_id").alias("ord"), F.lit("c2").alias("module"))
-    both = one.unionByName(two.join(one.select("id", "ord"), ["id", "ord"], "left_anti"))
-    last = both.groupBy("id").agg(F.max("ord").alias("ord"), F.max_by("module", "ord").alias("module"))
+    spot = lambda c, first: nodes.select("ord", F.lit(first).alias("first"), (F.col(c) + offset).cast("long").alias("s"), (F.col(c) + offset + F.col("size")).cast("long").alias("e")).filter("s < e")
+    ranges = spot("rpos_min", 1).unionByName(spot("rpos_max", 0)).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("e") - F.col("s"))).cast("int"))))
+    # the whole blocks of size 2^k in a range are those from l to r; of these an odd l and an even r are not part of a larger one
+    ranges = ranges.withColumns({"l": F.expr("-shiftright(-s, k)"), "r": F.expr("shiftright(e, k) - 1")}).filter("l <= r")
+    ends = F.array_distinct(F.array_compact(F.array(F.when(F.col("l") % 2 != 0, F.col("l")), F.when(F.col("r") % 2 == 0, F.col("r")))))
+    blocks = ranges.select("k", F.explode(ends).alias("block"), F.struct("ord", "first").alias("t")).groupBy("k", "block").agg(F.max("t").alias("t"))
+    sizes = [r["k"] for r in blocks.select("k").distinct().collect()]  # 63 at most
+    own = points.select("id", F.col("at").cast("long").alias("at"), F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("k")).withColumn("block", F.expr("shiftright(at, k)"))
+    last = own.join(blocks, ["k", "block"]).groupBy("id").agg(F.max("t").alias("t"))
+    last = last.select("id", "t.ord", F.when(F.col("t.first") == 1, "c1").otherwise("c2").alias("module"))
     return last.join(nodes.select("ord", "node"), "ord").select("id", "node", "module")
 
 
