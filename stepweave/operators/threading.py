@@ -34,6 +34,9 @@ def best_pairs(runs: DataFrame, clusters: DataFrame, by: list[str] | None = None
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("cluster")) - 1
     clusters = clusters.select(*keys, F.col("cluster").cast("string").alias("cluster")).distinct().withColumn("place", place)
     clusters = _settled(clusters.withColumn("bit", F.expr("shiftleft(1L, place)")).drop("place"))
+    # clusters and flanks stand once in a haplotype, so a run that repeats one stands in none; without these, runs are few, however many reads there are
+    once = F.filter(F.col("run").cast("array<string>"), lambda x: x != "buffer")
+    runs = runs.filter(F.size(once) == F.size(F.array_distinct(once)))
     told = runs.select(*keys, F.col("run").cast("array<string>").alias("run"), F.col("n").cast("long").alias("n"))
     told = _settled(told.groupBy(*keys).agg(F.collect_list(F.struct("run", "n")).alias("runs"), F.max(F.size("run")).alias("longest")))
     sizes = clusters.groupBy(*keys).agg(F.sum("bit").alias("full"), F.count(F.lit(1)).alias("k"))
