@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stepweave.operators.clustering import communities, em
 from stepweave.operators.diplotype import composite_rank, pair_likelihood, pair_metrics, similarity
-from stepweave.operators.graph import _settled
+from stepweave.operators.graph import _settled, small
 from stepweave.operators.order import longest, running
 from stepweave.operators.paths import by_path
 from stepweave.operators.threading import best_pairs
@@ -211,16 +211,21 @@ def pair_alignment(scores: DataFrame, pairs: DataFrame) -> DataFrame:
     """hap1, hap2, aln_score, aln_long_prop of pairs (hap1, hap2): the mean over reads of the better score, and the share of long reads that align well.
 
     Long reads are the longest tenth, rounded up (ties by name), but the share is of the tenth as it is; a read aligns well with a
-    score over the mean by 0.8 of the greatest one's distance to it.
+    score over the mean by 0.8 of the greatest one's distance to it. Scores are gathered by read once; pairs are made of a read's own scores, without a join.
     """
-    reads = scores.select("read", "length").distinct()
+    reads = scores.groupBy("read").agg(F.max("length").alias("length"), F.collect_list(F.struct("hap", "score")).alias("on"))
+    reads = _settled(reads)
     n = reads.count()
-    long_ = longest(reads, -(-n // 10), [F.desc("length"), "read"]).select("read", F.lit(1).alias("long"))
-    one = scores.select(F.col("hap").alias("hap1"), "read", F.col("score").alias("s1"))
-    two = scores.select(F.col("hap").alias("hap2"), "read", F.col("score").alias("s2"))
-    rows = pairs.select("hap1", "hap2").join(one, "hap1").join(two, ["hap2", "read"]).select("hap1", "hap2", "read", F.greatest("s1", "s2").alias("s")).join(long_, "read", "left")
-    mean = rows.groupBy("hap1", "hap2").agg(F.avg("s").alias("aln_score"), F.max("s").alias("most"))
-    well = rows.filter("long = 1").join(mean, ["hap1", "hap2"]).groupBy("hap1", "hap2").agg(F.count_if(F.col("s") > F.col("aln_score") + 0.8 * (F.col("most") - F.col("aln_score"))).alias("w"))
+    long_ = longest(reads, -(-n // 10), [F.desc("length"), "read"])
+    wanted = small(pairs.select("hap1", "hap2").distinct())
+
+    def better(of: DataFrame) -> DataFrame:
+        one = of.select(F.col("on").alias("all"), F.explode("on").alias("x"))
+        both = one.select(F.col("x.hap").alias("hap1"), F.col("x.score").alias("s1"), F.explode("all").alias("y"))
+        return both.select("hap1", F.col("y.hap").alias("hap2"), F.greatest("s1", "y.score").alias("s")).join(wanted, ["hap1", "hap2"])
+
+    mean = _settled(better(reads).groupBy("hap1", "hap2").agg(F.avg("s").alias("aln_score"), F.max("s").alias("most")))
+    well = better(long_).join(small(mean), ["hap1", "hap2"]).groupBy("hap1", "hap2").agg(F.count_if(F.col("s") > F.col("aln_score") + 0.8 * (F.col("most") - F.col("aln_score"))).alias("w"))
     return mean.join(well, ["hap1", "hap2"], "left").select("hap1", "hap2", "aln_score", (F.coalesce("w", F.lit(0)) / F.lit(max(n, 1) / 10)).alias("aln_long_prop"))
 
 
