@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions import same_start
-from stepweave.operators.graph import _settled
+from stepweave.operators.graph import _settled, small
 from stepweave.operators.paths import by_path, local_copy
 
+ROUNDS = 4  # nodes that are added to a walk in one pass
 DEPTH = 20  # nodes of a reference traversal that is still followed
 
 
@@ -49,20 +50,31 @@ def alleles(nodes: DataFrame, edges: DataFrame, near: int = 50, most: int | None
 
     Either position of the end must lie less than `near` bases from the start's end. A walk does not pass a node twice.
     The frontier is a table; a round adds one node to each walk, and the rounds end when no walk goes on. Only walks from which such an end can
-    still be reached go on. More than `most` walks in a round, if that is given, are an error: where k nodes of a region are all joined, there are about e k! of them.
+    still be reached go on. ROUNDS of them run in one pass without a shuffle: a walk looks up what may follow its last node, and walks that have ended are
+    kept beside those that go on. More than `most` walks in a round, if that is given, are an error: where k nodes of a region are all joined, there are about e k! of them.
     """
-    within, ends = (_settled(t) for t in _region_steps(nodes, edges, near))
-    front = nodes.filter("class = 'none'").select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"))
-    found = []
+    nodes, edges = _settled(nodes), _settled(edges)  # they are read several times
+    within, ends = _region_steps(nodes, edges, near)
+    ways = within.withColumn("end", F.lit(False)).unionByName(ends.withColumn("end", F.lit(True)))
+    ways = small(_settled(ways.groupBy("start", "at").agg(F.collect_set(F.struct("dst", "end")).alias("ways"))))
+    stay = F.array(F.struct(F.lit(None).cast(nodes.schema["node"].dataType).alias("dst"), F.lit(True).alias("end")))
+    onward = F.filter("ways", lambda x: F.when(x["end"], F.size("path") > 1).otherwise(~F.array_contains("path", x["dst"])))
+    longer = F.when(F.col("x.dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("x.dst"))).alias("path")
+    front = nodes.filter("class = 'none'").select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"), F.lit(False).alias("end")).distinct()
+    spread, found = 4 * nodes.sparkSession.sparkContext.defaultParallelism, []
     while True:
-        longer = F.concat("path", F.array("dst"))
-        found.append(front.filter("size(path) > 1").join(ends, ["start", "at"]).select(longer.alias("alt")))
-        front = _settled(front.join(within, ["start", "at"]).filter(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("at"), longer.alias("path")))
+        for _ in range(ROUNDS if most is None else 1):
+            each = front.join(ways, ["start", "at"], "left").select("start", "at", "path", F.explode(F.when(F.col("end"), stay).otherwise(onward)).alias("x"))
+            front = each.select("start", F.coalesce("x.dst", "at").alias("at"), longer, "x.end")
+        front = _settled(front)
+        found.append(front.filter("end").select(F.col("path").alias("alt")))
+        front = front.filter("not end")
         if most is not None and front.limit(most + 1).count() > most:
             raise ValueError(f"more than {most} walks are open at once")
         if front.isEmpty():
             break
-    return reduce(DataFrame.unionByName, found).distinct().select(F.array_join(F.col("alt").cast("array<string>"), "_").alias("variant"), "alt")
+        front = front.repartition(spread, "path")
+    return reduce(DataFrame.unionByName, found).select(F.array_join(F.col("alt").cast("array<string>"), "_").alias("variant"), "alt")
 
 
 def _along(variants: DataFrame, nodes: DataFrame) -> DataFrame:
