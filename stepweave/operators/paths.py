@@ -116,9 +116,10 @@ def informative(steps: DataFrame, on_walk: bool = False) -> DataFrame:
 
     Of two alleles at one place the walk over the reference passes one, so on_walk drops reads that hold only the other's nodes.
     """
-    own = steps.filter(F.col("class").isin("c1", "c2"))
-    own = own.filter("label = 'module'") if on_walk else own
-    return steps.join(own.select("path_id").distinct(), "path_id", "left_semi")
+    own = F.col("class").isin("c1", "c2")
+    own = own & (F.col("label") == "module") if on_walk else own
+    whole = by_path().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in order of pos, as the windows after it
+    return steps.withColumn("_own", F.max(own).over(whole)).filter("path_id is not null and _own").drop("_own")
 
 
 def select_module(subreads: DataFrame, module: str, least: int = 5, share: float = 0.5) -> DataFrame:

@@ -160,8 +160,9 @@ def _grouped_subreads(s: SparkSession, d: str) -> DataFrame:
     """Orders as reads over the parts, labelled along the walks, cut at module ends, those with a marker on a walk's module kept."""
     nodes, edges = _brand_loci(s, d)
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1
-    rows = read(s, d, "lineitem").select(F.col("l_orderkey").alias("path_id"), pos.alias("pos"), F.col("l_partkey").alias("node")).join(nodes.select("node", "class"), "node")
-    subs = paths.split_subreads(paths.informative(paths.labelled(rows, locus.node_groups(nodes, edges, ["locus"])), on_walk=True))
+    rows = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").alias("node")).join(nodes.select("node", "class"), "node")
+    rows = paths.labelled(rows, locus.node_groups(nodes, edges, ["locus"])).select(F.col("l_orderkey").alias("path_id"), pos.alias("pos"), "node", "class", "label")
+    subs = paths.split_subreads(paths.informative(rows, on_walk=True))
     return subs.groupBy("path_id", "sub").agg(F.first("group").alias("group"), F.count(F.lit(1)).alias("n"))
 
 
