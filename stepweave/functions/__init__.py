@@ -23,9 +23,8 @@ def parse_difference(cs: Column) -> Column:
 
 def parse_path(path: Column) -> Column:
     """array<struct<strand, node>> of an oriented path such as >1<2."""
-    strand = F.regexp_extract_all(path, F.lit(r"([<>])([^<>]+)"), F.lit(1))
-    node = F.regexp_extract_all(path, F.lit(r"([<>])([^<>]+)"), F.lit(2))
-    return F.zip_with(strand, node, lambda a, b: F.struct(a.alias("strand"), b.alias("node")))
+    step = F.regexp_extract_all(path, F.lit(r"[<>][^<>]+"), F.lit(0))
+    return F.transform(step, lambda s: F.struct(F.left(s, F.lit(1)).alias("strand"), s.substr(F.lit(2), F.length(s)).alias("node")))
 
 
 def mostly_reverse(path: Column) -> Column:

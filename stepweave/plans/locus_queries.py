@@ -102,7 +102,8 @@ def _alignments(s: SparkSession, d: str) -> DataFrame:
 def _cigar_nodes(s: SparkSession, d: str) -> DataFrame:
     """Orders as alignments along their parts: each line is a step of the path and two operations."""
     line = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag")
-    rows = read(s, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("name")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    lines = read(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("name"), line.alias("line")).repartition("name")  # lists of few lines each are not worth making before
+    rows = lines.groupBy("name").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     step = lambda x: F.concat(F.when(x["l_returnflag"] == "R", "<").otherwise(">"), x["l_partkey"].cast("string"))
     kind = lambda x, *of: F.element_at(F.array(*map(F.lit, of)), (x["l_linenumber"] % len(of) + 1).cast("int"))
     two = lambda x: F.array(F.struct(x["q"].alias("n"), kind(x, "=", "M", "X").alias("op")), F.struct(x["l_linenumber"].cast("int").alias("n"), kind(x, "I", "D").alias("op")))

@@ -85,45 +85,39 @@ def expand_alignments(records: DataFrame, nodes: DataFrame) -> DataFrame:
     sides, I the read, D the graph; other operations count for nothing. On a reverse step positions count from the node's end. Neighbouring
     visits of one node are one step. Records with a node that is not in `nodes` are left out.
 
-    Operations and nodes both lie along the path, at the sums of what comes before them. Sorted by place in one window for a record, each
-    stretch between two of these places has one operation and one node, and what a node covers is an aggregate of its stretches.
+    Operations and nodes both lie along the path, at the sums of what comes before them. Sorted by place once for all windows of a record, each
+    stretch between two of these places has one operation and one node; a visit begins and ends where the node of the stretches changes.
     """
     per = Window.partitionBy("name")
-    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    wide = ("=", "M", "X", "D")
+    every, so_far = Window.unboundedFollowing, lambda w, to=0: w.rowsBetween(Window.unboundedPreceding, to)
+    records = records.filter("name is not null")
     ops = records.select("name", F.col("path_start").alias("g"), F.col("start").alias("r"), F.posexplode("ops").alias("i", "o")).select("name", "g", "r", "i", "o.n", "o.op")
-    ops = ops.filter((F.col("n") > 0) & F.col("op").isin(*wide, "I"))
-    in_order = so_far(per.orderBy("i"))
-    moved = lambda *kinds: F.coalesce(F.sum(F.when(F.col("op").isin(*kinds), F.col("n"))).over(in_order), F.lit(0))
-    ops = ops.select("name", "op", "n", (F.col("g") + moved(*wide)).alias("at"), (F.col("r") + moved("I", "=", "M", "X")).alias("read")).filter("op <> 'I'")
+    ops = ops.filter((F.col("n") > 0) & F.col("op").isin("=", "M", "X", "D", "I"))
+    moved = lambda *kinds: F.coalesce(F.sum(F.when(F.col("op").isin(*kinds), F.col("n"))).over(so_far(per.orderBy("i"), -1)), F.lit(0))
+    ops = ops.select("name", "op", "n", (F.col("g") + moved("=", "M", "X", "D")).alias("at"), (F.col("r") + moved("I", "=", "M", "X")).alias("read")).filter("op in ('=', 'M')")
 
-    steps = records.select("name", F.posexplode(parse_path(F.col("path"))).alias("k", "s")).select("name", "k", "s.node", "s.strand").join(small(nodes.select("node", "size")), "node", "left")
-    steps = steps.withColumn("unknown", F.max(F.col("size").isNull()).over(per)).filter("not unknown")
-    steps = steps.withColumn("at", F.coalesce(F.sum("size").over(so_far(per.orderBy("k"))), F.lit(0)))
+    steps = records.select("name", mostly_reverse(F.col("path")).alias("flip"), F.posexplode(parse_path(F.col("path"))).alias("k", "s")).select("name", "flip", "k", "s.node", "s.strand").join(small(nodes.select("node", "size")), "node", "left")
+    in_order = per.orderBy("k")
+    steps = steps.select("*", F.max(F.col("size").isNull()).over(so_far(in_order, every)).alias("unknown"), F.coalesce(F.sum("size").over(so_far(in_order, -1)), F.lit(0)).alias("at")).filter("not unknown")
 
-    op, node = F.struct("op", "n", "at", "read"), F.struct("k", "node", "strand", "size", "at")
+    op, node = F.struct("op", "read", "at", (F.col("at") + F.col("n")).alias("stop")), F.struct("node", "strand", "size", "flip", "at")
     none = lambda t, c: F.lit(None).cast(t.select(c.alias("x")).schema["x"].dataType)
-    places = steps.select("name", "at", F.lit(0).alias("late"), none(ops, op).alias("op"), node.alias("node")).unionByName(ops.select("name", "at", F.lit(1).alias("late"), op.alias("op"), none(steps, node).alias("node")))
-    along = per.orderBy("at", "late")
-    before = along.rowsBetween(Window.unboundedPreceding, 0)
-    runs = places.select("name", "at", F.lead("at").over(along).alias("next"), F.last("op", ignorenulls=True).over(before).alias("op"), F.last("node", ignorenulls=True).over(before).alias("node"))
-    runs = runs.withColumn("stop", F.least("next", F.col("op.at") + F.col("op.n"), F.col("node.at") + F.col("node.size"))).filter("node is not null and stop > at and op.op in ('=', 'M')")
-    begin = F.struct(F.col("at") - F.col("node.at"), F.col("op.read") + F.col("at") - F.col("op.at"))
-    each = runs.groupBy("name", "node").agg(F.min(begin).alias("b"), F.max(F.when(F.col("op.op") == "=", F.col("stop") - 1 - F.col("node.at"))).alias("last"))
-    each = each.select("name", F.col("node.k").alias("k"), "node.node", "node.strand", "node.size", F.col("b.col1").alias("first"), F.col("b.col2").alias("read"), "last")
-
-    order = per.orderBy("k")
-    again = F.coalesce(F.lag("node").over(order) == F.col("node"), F.lit(False))
-    each = each.withColumn("visit", F.sum((~again).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    by_k = lambda c: F.min_by(c, "k")
-    each = each.groupBy("name", "visit").agg(F.min("k").alias("k"), *(by_k(c).alias(c) for c in ("node", "strand", "size", "first", "read")), F.max_by("last", F.when(F.col("last").isNotNull(), F.col("k"))).alias("last"))
-    place = lambda c: F.when(F.col("strand") == ">", c).otherwise(F.col("size") - c)
-    each = each.select("name", "k", "node", "read", place(F.col("first")).alias("a"), place(F.coalesce("last", "first")).alias("b"))
-    each = each.join(records.select("name", mostly_reverse(F.col("path")).alias("flip")), "name")
-    way = F.when(F.col("flip"), -F.col("k")).otherwise(F.col("k"))
-    pos = F.row_number().over(per.orderBy(way)) - 1
-    turned = lambda x, y: F.when(F.col("flip"), F.col(y)).otherwise(F.col(x)).cast("int")
-    return each.select(F.col("name").alias("path_id"), pos.cast("int").alias("pos"), "node", turned("a", "b").alias("start_pos"), turned("b", "a").alias("end_pos"), F.col("read").cast("int").alias("read_pos"))
+    places = steps.select("name", "at", "k", none(ops, op).alias("op"), node.alias("node")).unionByName(ops.select("name", "at", F.lit(None).cast("int").alias("k"), op.alias("op"), none(steps, node).alias("node")))
+    along = per.orderBy("at", "k")
+    seen = lambda c: F.last(c, ignorenulls=True).over(so_far(along))
+    runs = places.select("name", "at", "k", F.lead("at").over(along).alias("next"), seen("op").alias("op"), seen("node").alias("node"))
+    runs = runs.withColumn("stop", F.least("next", F.col("op.stop"), F.col("node.at") + F.col("node.size"))).filter("op is not null and node is not null and stop > at")
+
+    new = F.col("before").isNull() | (F.col("before") != F.col("node.node"))
+    first = F.struct("node", "at", (F.col("at") - F.col("node.at")).alias("place"), (F.col("op.read") + F.col("at") - F.col("op.at")).alias("read"))
+    last = F.struct("at", (F.col("stop") - 1 - F.col("node.at")).alias("place"))
+    nth = lambda to: F.sum(new.cast("int")).over(so_far(along, to))
+    runs = runs.select("*", F.lag("node.node").over(along).alias("before"))
+    visits = runs.select(F.coalesce(F.lead(new).over(along), F.lit(True)).alias("ends"), nth(0).alias("nth"), nth(every).alias("n"), "name", seen(F.when(new, first)).alias("first"), seen(F.when(F.col("op.op") == "=", last)).alias("last")).filter("ends")
+    visits = visits.select("name", "nth", "n", "first.node.*", "first.read", F.col("first.place").alias("a"), F.when(F.col("last.at") >= F.col("first.at"), F.col("last.place")).otherwise(F.col("first.place")).alias("b"))
+    place = lambda c: F.when(F.col("strand") == ">", F.col(c)).otherwise(F.col("size") - F.col(c))
+    turned = lambda x, y: F.when(F.col("flip"), x).otherwise(y).cast("int")
+    return visits.select(F.col("name").alias("path_id"), turned(F.col("n") - F.col("nth"), F.col("nth") - 1).alias("pos"), "node", turned(place("b"), place("a")).alias("start_pos"), turned(place("a"), place("b")).alias("end_pos"), F.col("read").cast("int").alias("read_pos"))
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
