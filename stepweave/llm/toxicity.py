@@ -176,4 +176,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1
     of both classes every score is low. Other columns than doc_id and text are not read.
     """
     table, curve = train(*labelled_sample(docs, labels, "toxic", fold(modulus) != held))
+    trim()  # what the training has freed: later stages of a pipeline need the driver's room
     return score_all(docs, Scorer(table), curve, fold(modulus) == held, carry=carry)
